@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plinth.llm import line_dedup, mixing, url_filter
+from plinth.llm import imatch, line_dedup, mixing, url_filter
 
 QUERIES = {
+    "op3_imatch": imatch.op3_imatch,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mix": mixing.op6_mix,
     "op10_url_filter": url_filter.op10_url_filter,

@@ -40,6 +40,8 @@ RULES = (
 DAMPING = 0.85
 ITERATIONS = 10
 CUT = 5
+#: The pages of one host are dealt to so many tasks when they meet its verdict.
+SALTS = 64
 THRESHOLD = 1.0
 _LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -123,11 +125,12 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     sums = marked.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).first()
     seeds = marked.select("host", (F.col("a") / F.lit(float(sums["sa"] or 1))).alias("trust"), (F.col("b") / F.lit(float(sums["sb"] or 1))).alias("distrust"))
     scores = propagate(host_edges(pages), seeds)
-    blocked = scores.filter(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("_host"), F.lit("block").alias("by_host"))
+    blocked = scores.filter(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("_host"), F.lit("block").alias("by_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of"))
+    salted = judged.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
     return (
-        judged.join(blocked, F.col("host") == F.col("_host"), "left")
+        salted.join(blocked, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_of")), "left")
         .withColumn("verdict", F.coalesce("by_rule", "by_host", F.lit("allow")))
-        .drop("by_rule", "by_host", "_host")
+        .drop("by_rule", "by_host", "_host", "_salt", "_of")
     )
 
 

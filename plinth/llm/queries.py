@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from plinth.llm import imatch, line_dedup, mixing, url_filter
+from plinth.llm import imatch, license_scan, line_dedup, mixing, secrets_scan, url_filter
 
 QUERIES = {
+    "op2_secrets": secrets_scan.op2_secrets,
     "op3_imatch": imatch.op3_imatch,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mix": mixing.op6_mix,
+    "op7_licenses": license_scan.op7_licenses,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op7_licenses": license_scan.OP7_SQL,
 }

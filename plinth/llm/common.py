@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import plinth
+
+#: Functions go to the executors by value: they need not have this package.
+cloudpickle.register_pickle_by_value(plinth)
+
 #: A word is a maximal run of characters other than space, tab, line feed,
 #: vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.llm import imatch, license_scan, line_dedup, mixing, secrets_scan, url_filter
+from plinth.llm import imatch, license_scan, line_dedup, mixing, secrets_scan, toxicity, url_filter
 
 QUERIES = {
     "op2_secrets": secrets_scan.op2_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mix": mixing.op6_mix,
     "op7_licenses": license_scan.op7_licenses,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

@@ -40,6 +40,7 @@ from plinth.llm.common import materialize, sha256_hex, table
 MIN_SHARE = 0.001
 MAX_SHARE = 0.1
 MIN_DOCS = 2
+_BUCKETS = 1 << 14
 SUBSETS = 32
 SCALES = 3
 _MAX_ID = (1 << 63) - 1
@@ -53,11 +54,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """One row: the terms within the band, as one sorted array."""
+    """One row: the terms within the band, as an array of ``_BUCKETS`` arrays by hash."""
+    spark = docs.sparkSession
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     band = counts.filter((F.col("df") >= max(MIN_DOCS, min_share * n)) & (F.col("df") <= max(MIN_DOCS, max_share * n)))
-    return band.agg(F.array_sort(F.collect_list("t")).alias("lexicon"))
+    filled = band.groupBy(F.pmod("t", F.lit(_BUCKETS)).alias("b")).agg(F.collect_list("t").alias("ts"))
+    slot = F.struct("id", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts"))
+    slots = spark.range(_BUCKETS).join(filled, F.col("id") == F.col("b"), "left")
+    return slots.agg(F.transform(F.sort_array(F.collect_list(slot)), lambda x: x["ts"]).alias("lexicon"))
 
 
 def fingerprint(own: Column) -> Column:
@@ -67,23 +72,26 @@ def fingerprint(own: Column) -> Column:
     """
 
     def of(x: Column) -> Column:
-        chosen = F.array_sort(F.when(F.size(x["known"]) > 0, x["known"]).otherwise(x["words"]))
-        return F.transform(F.array(F.struct(chosen.alias("t"))), scaled)[0]
+        chosen = F.sort_array(F.when(F.size(x["known"]) > 0, x["known"]).otherwise(x["words"]))
+        return F.transform(F.array(F.struct(chosen.alias("t"))), placed)[0]
 
-    def scaled(x: Column) -> Column:
+    def placed(x: Column) -> Column:
         s = F.floor(F.log2(F.greatest(F.size(x["t"]), F.lit(1)).cast("double"))).cast("int") + 1
+        return F.transform(F.array(F.struct(s.alias("s"), F.call_function("shiftleft", F.lit(1), s).alias("m"), x["t"].alias("t"))), scaled)[0]
+
+    def scaled(x: Column) -> Column:
+        # A term's subset at one scale is its subset at the next less a bit, so few terms are left to place.
+        marked = F.transform(x["t"], lambda t: F.struct(F.shiftrightunsigned(t, 20).bitwiseAND(F.lit(0x3FFFFFFF)).cast("int").alias("j"), t.alias("t")))
+        few = F.filter(marked, lambda p: p["j"].bitwiseAND(x["m"] - 1) < SUBSETS)
         nothing = F.struct(F.lit(-SCALES).alias("s"), F.array(F.array(F.lit(1).cast("bigint"))).alias("codes"))
-        own_codes = F.array(*[codes(x["t"], s + i) for i in range(SCALES)])
-        return F.when(F.size(x["t"]) == 0, nothing).otherwise(F.struct(s.alias("s"), own_codes.alias("codes")))
+        some = F.transform(F.array(F.struct(few.alias("p"), x["m"].alias("m"))), lambda y: F.array(*[codes(y["p"], y["m"] * (1 << i)) for i in range(SCALES)]))[0]
+        return F.when(F.size(x["t"]) == 0, nothing).otherwise(F.struct(x["s"].alias("s"), some.alias("codes")))
 
-    def codes(ts: Column, s: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), s) - 1
-        placed = F.transform(ts, lambda t: F.struct(F.shiftrightunsigned(t, 20).bitwiseAND(mask).alias("j"), t.alias("t")))
-        few = F.filter(placed, lambda p: p["j"] < SUBSETS)
-        return F.transform(F.array(few), lambda p: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: code(p, j)))[0]
+    def codes(few: Column, m: Column) -> Column:
+        own = F.filter(few, lambda p: p["j"].bitwiseAND(m - 1) < SUBSETS)
+        return F.transform(F.array(own), lambda p: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: code(F.filter(p, lambda y: y["j"].bitwiseAND(m - 1) == j))))[0]
 
-    def code(few: Column, j: Column) -> Column:
-        subset = F.filter(few, lambda x: x["j"] == j)
+    def code(subset: Column) -> Column:
         return F.transform(F.array(subset), lambda p: F.when(F.size(p) == 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFF)) + 1))[0]
 
     return F.transform(F.array(own), of)[0]
@@ -92,7 +100,7 @@ def fingerprint(own: Column) -> Column:
 def with_fingerprint(docs: DataFrame, lex: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """docs with the fingerprint of its column text; lex is a lexicon()."""
     found = docs.withColumn("_words", terms(F.col(text))).withColumn("_lex", lex.scalar())
-    known = F.array_intersect("_lex", "_words")
+    known = F.filter("_words", lambda t: F.array_contains(F.get("_lex", F.pmod(t, F.lit(_BUCKETS))), t))
     found = found.withColumn("_own", F.struct(known.alias("known"), F.col("_words").alias("words"))).drop("_lex", "_words")
     return found.withColumn(name, fingerprint(F.col("_own"))).drop("_own")
 
@@ -123,7 +131,7 @@ def with_next(docs: DataFrame, columns: list[str], per_range: int = 64, most: in
     keyed = docs.withColumn("_k", key)
     rate = max(per_range, -(-docs.count() // most))
     chosen = F.collect_set(F.when(F.pmod(F.xxhash64("_k"), F.lit(rate)) == 0, F.col("_k")))
-    bounds = keyed.agg(F.array_sort(F.array_union(F.array(F.min("_k")), chosen)).alias("b")).scalar()
+    bounds = keyed.agg(F.sort_array(F.array_union(F.array(F.min("_k")), chosen)).alias("b")).scalar()
     keyed = keyed.withColumn("_b", bounds)
     steps = [1 << i for i in reversed(range((2 * most).bit_length()))]
     at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, step: F.when(F.coalesce(F.get("_b", lo + step), F.lit(_MAX_ID)) <= F.col("_k"), F.when(lo + step < F.size("_b"), lo + step).otherwise(lo)).otherwise(lo))
@@ -131,11 +139,10 @@ def with_next(docs: DataFrame, columns: list[str], per_range: int = 64, most: in
     before = F.when(F.col("_r") == 0, F.size("_b") - 1).otherwise(F.col("_r") - 1)
     own = F.struct(F.col("_r").alias("r"), F.lit(False).alias("ghost"))
     ghost = F.struct(before.alias("r"), F.lit(True).alias("ghost"))
-    dealt = keyed.withColumn("_r", at).withColumn("_to", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own)))).drop("_b")
-    order = Window.partitionBy("_to.r").orderBy("_to.ghost", "_k", F.xxhash64("text"))
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.filter("not _to.ghost").drop("_k", "_r", "_to")
+    to = F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("_to")
+    dealt = keyed.withColumn("_r", at).select(*docs.columns, "_k", to).select(*docs.columns, "_k", F.xxhash64("text").alias("_h"), F.col("_to.r").alias("_r"), F.col("_to.ghost").alias("_ghost"))
+    order = Window.partitionBy("_r").orderBy("_ghost", "_k", "_h")
+    return dealt.select(*docs.columns, "_ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter("not _ghost").drop("_ghost")
 
 
 def op3_imatch(spark, sf_dir: str) -> DataFrame:

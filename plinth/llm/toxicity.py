@@ -101,10 +101,15 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     n = Counter(y for _, y in sample)
     if not n[0] or not n[1]:
         return Model()
-    bags = [[features(set(_WORD.findall(m[0].lower()))) for m in _SENTENCE.finditer(t)] for t, _ in sample]
+    # Texts are cut up twice, so that at most the features of toxic documents are held.
     held: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, (_, y) in zip(bags, sample, strict=True):
-        held[y].update(set().union(*bag) if bag else ())
+    for label in (1, 0):
+        for text, y in sample:
+            if y == label:
+                own = features(set(_WORD.findall(text.lower())))
+                held[y].update(own if y == 1 else own & held[1].keys())
+        if label == 1:
+            held = (Counter(), Counter({f: c for f, c in held[1].items() if c >= 2}))
     share = n[1] / len(sample)
 
     def gain(f: str) -> float:
@@ -114,13 +119,13 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         own = (pos * math.log(rate / share) if pos else 0.0) + (neg * math.log((1 - rate) / (1 - share)) if neg else 0.0)
         return own if rate > share else -own
 
-    ranked = sorted(((gain(f), f) for f, c in held[1].items() if c >= 2), key=lambda x: (-x[0], x[1]))
+    ranked = sorted(((gain(f), f) for f in held[1]), key=lambda x: (-x[0], x[1]))
     names = [f for g, f in ranked[:MAX_FEATURES] if g > 2.0]
     at = {f: i for i, f in enumerate(names)}
     doc_of, rows, cols, plain = [], [], [], np.zeros(len(sample))
-    for d, bag in enumerate(bags):
-        for words in bag:
-            own = sorted(at[f] for f in words if f in at)
+    for d, (text, _) in enumerate(sample):
+        for found in _SENTENCE.finditer(text):
+            own = sorted(at[f] for f in features(set(_WORD.findall(found[0].lower()))) if f in at)
             if own:
                 rows += [len(doc_of)] * len(own)
                 cols += own

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plinth.llm import imatch, license_scan, line_dedup, mixing, secrets_scan, toxicity, url_filter
+from plinth.llm import imatch, jaccard, license_scan, line_dedup, mixing, secrets_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_jaccard": jaccard.op1_jaccard,
     "op2_secrets": secrets_scan.op2_secrets,
     "op3_imatch": imatch.op3_imatch,
     "op5_line_dedup": line_dedup.op5_line_dedup,

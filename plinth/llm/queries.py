@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plinth.llm import imatch, jaccard, license_scan, line_dedup, mixing, secrets_scan, toxicity, url_filter
+from plinth.llm import imatch, jaccard, license_scan, line_dedup, mixing, secrets_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op2_secrets": secrets_scan.op2_secrets,
     "op3_imatch": imatch.op3_imatch,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mix": mixing.op6_mix,
     "op7_licenses": license_scan.op7_licenses,

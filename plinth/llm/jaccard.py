@@ -214,7 +214,7 @@ def _labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles, component for each row of docs; key is null-safe, see ``_key``."""
+    """doc_id, key, n_shingles, component for each row of docs; see ``_key``."""
     spark = docs.sparkSession
     scanned = materialize(sets_and_sketch(docs, width), "jaccard-sets")
     sets = scanned.filter("tag = 0").select(F.col("id").alias("doc_id"), "n", "a", "b").withColumn("key", _key(F.col("doc_id"), F.col("a")))
@@ -260,7 +260,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     same_id = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     every = copies.unionByName(links).unionByName(rest).unionByName(same_id.select("a", "b"))
     labels = components(every)
-    return members.join(labels, members["key"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("component"))
+    return members.join(labels, members["key"] == labels["node"], "left").select("doc_id", "key", "n_shingles", F.coalesce("label", "key").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

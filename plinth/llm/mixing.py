@@ -76,20 +76,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES, budget: int | None = None, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, columns=None, weights=WEIGHTS, max_passes: int = MAX_PASSES, budget: int | None = None, seed: str = SEED) -> DataFrame:
     """All rows of docs with size, source_size, target, taken and finish.
 
+    columns names the columns of docs to keep, all when None.
+
     finish is the virtual time at which the last word taken of the document is
     served (null when none is taken). ``schedule`` orders the result by it.
     """
-    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "finish", "skey", "key", "bucket")]
+    own = [c for c in columns or docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "finish", "skey", "key", "bucket")]
     lean = docs.select(
-        *[c for c in own if c.lower() != "text"],
+        *dict.fromkeys([*own, "doc_id", "source"]),
         n_words("text").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key"),
     )
-    return _taken(materialize(lean, "mix-sizes"), weights, max_passes, budget)
+    return _taken(materialize(lean, "mix-sizes"), weights, max_passes, budget).select(*own, "size", "source_size", "target", "taken", "finish")
 
 
 def _taken(sized: DataFrame, weights, max_passes: int, budget: int | None) -> DataFrame:
@@ -124,7 +126,7 @@ def op6_mix(spark, sf_dir: str) -> DataFrame:
     from plinth.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.llm import imatch, jaccard, license_scan, line_dedup, mixing, secrets_scan, suffix_dedup, toxicity, url_filter
+from plinth.llm import decontaminate, imatch, jaccard, license_scan, line_dedup, mixing, secrets_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mix": mixing.op6_mix,
     "op7_licenses": license_scan.op7_licenses,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

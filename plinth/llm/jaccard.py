@@ -21,9 +21,8 @@ A document's set are its distinct shingles of five words. Two documents link whe
    linked pair must.
 4. Comparison is exact, on the whole texts of both documents.
 
-Shingles that the sketch shows to be frequent are dealt out by (shingle, salt), so a
-shingle of a third of all documents is spread over tasks; its documents are counted
-by partial sums.
+A document's prefix rows that others share bound its overlap with any other, and so
+keep those out of the counting that differ too much from all they meet.
 
 Defined cases: null and empty texts and texts of blanks have no shingles and link with
 nothing; texts of fewer than five words are one shingle; rows with one doc_id count as
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize, table
+from plinth.llm.common import discard, materialize, table
 from plinth.llm.components import components
 from plinth.llm.hashing import mix, shingle_sets
 
@@ -55,7 +54,6 @@ COMPARE, EMIT = 50.0, 1.0
 #: Candidate pairs for each document above which another star round comes first.
 PAIRS_PER_DOC = 20
 STAR_ROUNDS = 4
-SALT_ROWS = 2000
 _NO_ID = 1 << 62
 _U = np.uint64
 
@@ -102,10 +100,10 @@ def _key(doc_id, digest):
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """token, salt, doc, n, lev, k: the chosen prefix of each document.
+    """token, doc, meta: the chosen prefix of each document.
 
-    lev is the least k at which the token is in the prefix; salt is 0 for a token that
-    the sketch bounds by ``SALT_ROWS`` documents.
+    meta holds the set's size, the least k at which the token is in the prefix, and
+    the document's k, see ``_opened``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -114,7 +112,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
         noise = held[0].sum() / CELLS
         floor = noise + 6 * np.sqrt(noise) + 2
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(3)]
             ids = batch.column(0).to_pylist()
             for doc, own in zip(ids, shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 n = len(own)
@@ -134,40 +132,48 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
                 found = others[length - 1]
                 k = int(ks[np.argmin(EMIT * length + found + COMPARE * found / ks)])
                 size = n - least + k
-                own, seen = own[order[:size]], seen[order[:size]]
-                parts = np.maximum(1, np.ceil(seen / SALT_ROWS)).astype(np.int64)
-                frequent = (rank[order[:size]] > 0) & (parts > 1)
-                spread = np.full(size, int(mix(np.array([doc], np.int64).view(_U))[0] >> _U(1)), np.int64)
-                columns = (_signed(own), np.where(frequent, 1 + spread % parts, 0), np.full(size, doc, np.int64), np.full(size, n, np.int64), np.maximum(1, np.arange(size) - (n - least) + 1), np.full(size, k))
+                own = own[order[:size]]
+                columns = (_signed(own), np.full(size, doc, np.int64), n << 8 | np.maximum(1, np.arange(size) - (n - least) + 1) << 4 | k)
                 for to, c in zip(out, columns, strict=True):
                     to.append(c)
             if out[0]:
-                token, salt, doc, n, lev, k = (np.concatenate(c) for c in out)
-                meta = n << 8 | lev << 4 | k
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token, salt, doc, meta)], names=["token", "salt", "doc", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["token", "doc", "meta"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "token long, salt long, doc long, meta long")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "token long, doc long, meta long")
 
 
-def shared_tokens(found: DataFrame, parts: int) -> DataFrame:
-    """The rows of found whose token at least two documents have, with its least document as lead."""
-    dealt = found.repartition(parts, "token", "salt")
-    sums = dealt.groupBy("token", "salt").agg(F.min("doc").alias("lead"), F.max("doc").alias("top"))
-    alone = sums.filter("salt = 0 and lead <> top").select("token", "salt", "lead")
-    salted = sums.filter("salt > 0")
-    whole = salted.groupBy("token").agg(F.min("lead").alias("lead"), F.max("top").alias("top")).filter("lead <> top")
-    spread = salted.select("token", "salt").join(whole, "token").select("token", "salt", "lead")
-    return dealt.join(alone.unionByName(spread), ["token", "salt"]).select("token", "doc", "meta", "lead")
+def shared_tokens(found: DataFrame) -> DataFrame:
+    """The rows of found whose token at least two documents have, with its least document as lead.
+
+    A frequent token is one row of partial sums for each task, and one row on the
+    small side of the join, whose large side can be split.
+    """
+    heads = found.groupBy("token").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "lead")
+    return found.join(heads, "token")
 
 
 def _opened(t: DataFrame) -> DataFrame:
-    return t.select("token", "doc", "lead", F.shiftright("meta", 8).alias("n"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("lev"), F.col("meta").bitwiseAND(F.lit(15)).alias("k"))
+    return t.select("token", "doc", F.shiftright("meta", 8).alias("n"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("lev"), F.col("meta").bitwiseAND(F.lit(15)).alias("k"))
+
+
+def _bounded(tokens: DataFrame, percent: int) -> DataFrame:
+    """tokens with o, a bound on the document's overlap with any other.
+
+    What the document shares lies in its prefix rows here or behind its prefix.
+    """
+    least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9))
+    held = tokens.groupBy("doc").agg((F.count(F.lit(1)) + F.max(least - F.col("k"))).alias("o"))
+    return tokens.join(held, "doc")
+
+
+def _overlap(n_a, n_b, percent: int):
+    """Least overlap of a linked pair of these sizes."""
+    return F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
 def _needed(n_a, n_b, k, percent: int):
     """Prefix shingles that a linked pair of these sizes shares at least."""
-    overlap = F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return F.greatest(k, overlap - F.ceil(F.lit(percent) * F.greatest(n_a, n_b) / F.lit(100.0) - F.lit(1e-9)) + k)
+    return F.greatest(k, _overlap(n_a, n_b, percent) - F.ceil(F.lit(percent) * F.greatest(n_a, n_b) / F.lit(100.0) - F.lit(1e-9)) + k)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -197,18 +203,27 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int =
 
 def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents in different components that share as many tokens as linked ones must."""
-    x = tokens.select("token", *[F.col(c).alias(c + "_a") for c in ("doc", "n", "lev", "k", "label")])
-    y = tokens.select("token", *[F.col(c).alias(c + "_b") for c in ("doc", "n", "lev", "k", "label")])
+    x = tokens.select("token", *[F.col(c).alias(c + "_a") for c in ("doc", "n", "lev", "k", "o", "label")])
+    y = tokens.select("token", *[F.col(c).alias(c + "_b") for c in ("doc", "n", "lev", "k", "o", "label")])
     k = F.least("k_a", "k_b")
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    met = x.join(y, "token").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & sizes & (F.col("lev_a") <= k) & (F.col("lev_b") <= k))
+    enough = F.least("o_a", "o_b") >= _overlap(F.col("n_a"), F.col("n_b"), percent)
+    met = x.join(y, "token").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & sizes & enough & (F.col("lev_a") <= k) & (F.col("lev_b") <= k))
     counted = met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min(k).alias("k"))
     return counted.filter(F.col("c") >= _needed(F.col("n_a"), F.col("n_b"), F.col("k"), percent)).select("a", "b")
 
 
-def _labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """tokens of groups that hold more than one component, with the documents' labels."""
-    own = tokens.join(labels, tokens["doc"] == labels["node"], "left").select(*tokens.columns, F.coalesce("label", "doc").alias("label"))
+def _labelled(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """tokens that may still join two components, with the documents' labels.
+
+    A document leaves a token's group when its bound is below the overlap that
+    even the smallest document of the group would need; a group of one
+    component goes as a whole.
+    """
+    sizes = tokens.groupBy("token").agg(F.min("n").alias("least"))
+    small = F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9)))
+    able = tokens.join(sizes, "token").filter(F.col("o") >= _overlap(F.col("n"), small, percent)).select(*tokens.columns)
+    own = able.join(labels, able["doc"] == labels["node"], "left").select(*tokens.columns, F.coalesce("label", "doc").alias("label"))
     mixed = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     return own.join(mixed, "token", "left_semi")
 
@@ -227,9 +242,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     copies = members.filter("rep <> key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     later = copies.select(F.col("a").alias("doc")).distinct()
 
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = shared_tokens(prefixes(docs, sketch, width, percent), parts).join(later, "doc", "left_anti")
-    tokens = materialize(_opened(found), "jaccard-tokens")
+    found = materialize(prefixes(docs, sketch, width, percent), "jaccard-prefixes")
+    shared = materialize(shared_tokens(found), "jaccard-shared")
+    discard(found)
+    alive = _opened(shared.join(later, "doc", "left_anti"))
+    tokens = materialize(_bounded(shared_tokens(alive), percent), "jaccard-tokens")
+    discard(shared)
 
     star = tokens.filter("doc <> lead").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("k").alias("k"))
     sizes = tokens.groupBy("doc").agg(F.max("n").alias("n_a"))
@@ -238,7 +256,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     links = materialize(verify(star.select("a", "b"), docs, width, percent), "jaccard-links")
     labels = components(links)
-    tokens = materialize(_labelled(tokens.drop("lead"), labels), "jaccard-open")
+    tokens = materialize(_labelled(tokens.drop("lead"), labels, percent), "jaccard-open")
 
     for _ in range(STAR_ROUNDS):
         groups = tokens.groupBy("token", "label").count()
@@ -254,7 +272,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             break
         links = links.unionByName(new)
         labels = components(links)
-        tokens = materialize(_labelled(tokens.drop("label"), labels), "jaccard-open")
+        tokens = materialize(_labelled(tokens.drop("label"), labels, percent), "jaccard-open")
 
     rest = materialize(verify(_candidates(tokens, percent), docs, width, percent), "jaccard-links")
     same_id = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")

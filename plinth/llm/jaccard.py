@@ -237,7 +237,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sketch = np.zeros((2, CELLS), np.int64)
     sketch[counted["id"].to_numpy(), counted["n"].to_numpy()] = counted["c"].to_numpy()
 
-    classes = sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"))
+    # A table of its own, so that the join's other side can be split where a class is large.
+    classes = materialize(sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep")), "jaccard-digests")
     members = materialize(sets.join(classes, ["n", "a", "b"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
     copies = members.filter("rep <> key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     later = copies.select(F.col("a").alias("doc")).distinct()

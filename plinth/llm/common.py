@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="plinth-"))
 
 
+def packed(docs: DataFrame, *results: str) -> tuple[Column, list[Column]]:
+    """A struct column `row` of docs' columns but text, and the columns to select in the end.
+
+    Columns named like the results are left out, so that results replace them. The
+    struct keeps docs' other columns apart from the names that an operator uses.
+    """
+    names = [c for c in docs.columns if c.lower() not in results]
+    row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"] or [F.lit(0).alias("_none")]).alias("row")
+    return row, [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names]
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 

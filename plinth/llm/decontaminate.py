@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, materialize, table
+from plinth.llm.common import lower_ascii, materialize, packed, table
 
 WIDTH = 5
 MIN_SHARE = 0.75
@@ -123,12 +123,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with items (sorted item ids, empty when clean) and similarity (the largest, 0 when clean)."""
-    own = [c for c in docs.columns if c.lower() not in ("items", "similarity", "d", "th")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"))
+    row, columns = packed(docs, "items", "similarity")
+    keyed = docs.select(row, "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"))
     leaks = find_leaks(keyed.select("d", "th", "text"), benchmark)
     found = leaks.groupBy("d", "th").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
     none = F.array().cast("array<bigint>")
-    return keyed.join(found, ["d", "th"], "left").select(*own, F.coalesce("items", none).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return keyed.join(found, ["d", "th"], "left").select(*columns, F.coalesce("items", none).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

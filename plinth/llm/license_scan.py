@@ -28,7 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, table
+from plinth.llm.common import lower_ascii, packed, table
 
 CUES = ("licen", "warrant", "permission", "redistribut", "spdx", "copyright", "public domain", "conditions")
 
@@ -142,14 +142,14 @@ def _ids(text: Column, ends: str, known: dict[str, str]) -> Column:
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with sentence_ids, licenses and leftover, arrays of strings."""
     known = known_sentences()
-    own = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses", "leftover", "_seq", "_found")]
+    row, columns = packed(docs, "sentence_ids", "licenses", "leftover")
     text = F.coalesce("text", F.lit(""))
     cue = F.rlike(text, F.lit("(?i)" + "|".join(CUES)))
     low = lower_ascii(text)
     two = F.struct(_ids(low, _BY_LINE, known).alias("a"), _ids(low, _BY_PARAGRAPH, known).alias("b"))
     ids = F.transform(F.array(two), lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]))[0]
     none = F.array().cast("array<string>")
-    found = docs.select(*own, F.when(cue, ids).otherwise(none).alias("sentence_ids"))
+    found = docs.select(row, "text", F.when(cue, ids).otherwise(none).alias("sentence_ids"))
     listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(seq) + ",").alias("run")) for name, seq in rules])
 
     def step(acc: Column, rule: Column) -> Column:
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     state = F.struct(sequence.alias("seq"), none.alias("names"))
     result = found.withColumn("_found", F.when(F.size("sentence_ids") > 0, F.aggregate(listed, state, step)))
     left = F.filter(F.split(F.col("_found.seq"), "[,#]+", -1), lambda x: x != "")
-    return result.select(*own, "sentence_ids", F.coalesce("_found.names", none).alias("licenses"), F.coalesce(left, none).alias("leftover"))
+    return result.select(*columns, "sentence_ids", F.coalesce("_found.names", none).alias("licenses"), F.coalesce(left, none).alias("leftover"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:

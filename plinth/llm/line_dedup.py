@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import sha256_hex, table
+from plinth.llm.common import packed, sha256_hex, table
 
 WINDOW = 3
 _BLANK = " \t\r"
@@ -65,21 +65,22 @@ def covered_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text less its covered lines, n_lines and n_removed."""
-    spare = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    row, columns = packed(docs, "n_lines", "n_removed")
     found = covered_windows(docs, window).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "starts")
-    own = docs.select(*spare, "text", F.xxhash64("text").alias("_h"))
+    own = docs.select(row, F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_h"))
     lines = _lines(F.col("text"))
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1)))))
     kept = F.array_except(every, gone)
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    return own.join(found, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
-        *[c for c in spare],
+    joined = own.join(found, (F.col("_h") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_d")), "left").select(
+        "row",
         F.when(F.col("starts").isNull(), F.col("text")).otherwise(left).alias("text"),
         n_lines.alias("n_lines"),
         F.when(F.col("starts").isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias("n_removed"),
     )
+    return joined.select(*columns, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

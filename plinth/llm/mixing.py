@@ -84,14 +84,16 @@ def mix(docs: DataFrame, columns=None, weights=WEIGHTS, max_passes: int = MAX_PA
     finish is the virtual time at which the last word taken of the document is
     served (null when none is taken). ``schedule`` orders the result by it.
     """
-    own = [c for c in columns or docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "finish", "skey", "key", "bucket")]
+    own = [c for c in columns or docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "finish")]
     lean = docs.select(
-        *dict.fromkeys([*own, "doc_id", "source"]),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),  # apart from the names used here
+        F.col("doc_id").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
         n_words("text").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key"),
     )
-    return _taken(materialize(lean, "mix-sizes"), weights, max_passes, budget).select(*own, "size", "source_size", "target", "taken", "finish")
+    return _taken(materialize(lean, "mix-sizes"), weights, max_passes, budget).select("row.*", "size", "source_size", "target", "taken", "finish")
 
 
 def _taken(sized: DataFrame, weights, max_passes: int, budget: int | None) -> DataFrame:

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import sha256_hex, table
+from plinth.llm.common import packed, sha256_hex, table
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -127,7 +127,7 @@ def entropy_spans(text: Column) -> Column:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs with base and found: arrays of struct(s, k, e); k indexes KINDS."""
     text = F.coalesce("text", F.lit(""))
-    own = [c for c in docs.columns if c.lower() not in ("base", "found", "_extra")]
+    row, columns = packed(docs, "base", "found")
 
     def kind(k: int, xs: Column) -> Column:
         return F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
@@ -137,9 +137,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         kind(1, F.filter(_found(text, ACCESS, 1), lambda x: F.length(x["m"]) >= 18)),
         kind(2, _found(text, HEX, 1)),
     )
-    found = docs.select(*own, F.array_sort(base).alias("base"), kind(3, entropy_spans(text)).alias("_extra"))
+    found = docs.select(row, "text", F.array_sort(base).alias("base"), kind(3, entropy_spans(text)).alias("_extra"))
     more = F.filter("_extra", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    return found.withColumn("found", F.array_sort(F.concat("base", more))).drop("_extra")
+    return found.select(*columns, "base", F.array_sort(F.concat("base", more)).alias("found"))
 
 
 def span_text(spans: Column | str) -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import materialize, table
+from plinth.llm.common import materialize, packed, slices, table
 from plinth.llm.hashing import chunks, joined, mix, powers, prefix_sums, range_hash
 
 LENGTH = 400
@@ -97,7 +97,7 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> t
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             at = 0
             for own in chunks((t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()):
@@ -303,9 +303,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     read = docs.join(wanted, ["d", "th"]).select("d", "th", "text", "xs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                yield from _contexts(batch.slice(at, 64).to_pylist(), length)
+        for batch in slices(batches, 64):
+            yield from _contexts(batch.to_pylist(), length)
 
     schema = T.StructType.fromDDL("d long, th long, g long, single boolean, p1 int, off int, ctx binary, block int, core long, whole long, w0 int, windows array<long>")
     ctx = materialize(read.mapInArrow(cut, schema), "suffix-contexts")
@@ -348,26 +347,25 @@ def _contexts(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept (binary)."""
-    own = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept", "d", "th", "ranges")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th"))
+    row, columns = packed(docs, "n_bytes", "n_removed", "n_spans", "kept")
+    keyed = docs.select(row, "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th"))
     ranges = covered_ranges(keyed.select("d", "th", "text"), length).groupBy("d", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    both = keyed.join(ranges, ["d", "th"], "left").select(*own, "ranges")
-    at = own.index("text")
-    schema = T.StructType([*docs.select(*own).schema.fields, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
+    both = keyed.join(ranges, ["d", "th"], "left").select("row", "text", "ranges")
+    schema = T.StructType([*both.select("row", "text").schema.fields, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 spans = merged([(r["s"], r["e"]) for r in found or ()])
                 edges = [0, *[x for span in spans for x in span], len(data)]
                 kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 for to, v in zip(out, (len(data), len(data) - len(kept), len(spans), kept), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=[*own, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(scan, schema)
+    return both.mapInArrow(scan, schema).select(*columns, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, materialize, table
+from plinth.llm.common import lower_ascii, materialize, packed, table
 
 #: (verdict, rule) as the list gives them.
 RULES = (
@@ -111,11 +111,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """All rows of pages with host, path, rule and verdict."""
-    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "html", "by_rule", "by_host")]
+    """All rows of pages, without html, with host, path, rule and verdict."""
+    # html is read for its links only and not carried along.
+    row, columns = packed(pages, "host", "path", "rule", "verdict", "html")
     rule, said = rule_verdict(F.col("host"), F.col("path"), rules)
     judged = (
-        pages.select(*own, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+        pages.select(row, F.col("url"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
         .withColumn("rule", rule)
         .withColumn("by_rule", said)
     )
@@ -129,8 +130,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     salted = judged.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
     return (
         salted.join(blocked, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_of")), "left")
-        .withColumn("verdict", F.coalesce("by_rule", "by_host", F.lit("allow")))
-        .drop("by_rule", "by_host", "_host", "_salt", "_of")
+        .select(*columns, "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
     )
 
 

@@ -291,3 +291,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = rf"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+a as (select doc_id, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as shs from t),
+s as materialized (select distinct doc_id, unnest(shs) as sh from a),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by all),
+l as materialized (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select doc_id as d, doc_id as o from documents union select r.d, e.b from r join e on r.o = e.a)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.o) as component_id
+from documents d left join n on d.doc_id = n.doc_id join r on r.d = d.doc_id group by d.doc_id
+"""

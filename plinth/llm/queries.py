@@ -18,7 +18,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard": jaccard.OP1_SQL,
+    "op2_secrets": secrets_scan.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op7_licenses": license_scan.OP7_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
 }

@@ -152,3 +152,37 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
     return scanned.select("doc_id", of(0), of(1), of(2), sha256_hex(span_text("base")).alias("base_sha256"), span_text("found").alias("spans"))
+
+
+def _sql() -> str:
+    """The same in SQL, with every window's entropy counted anew."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def matches(name: str, pattern: str, group: int) -> str:
+        p = quote(pattern)
+        return (
+            f"{name}_a as (select doc, regexp_extract_all(t, {p}) as w, regexp_extract_all(t, {p}, {group}) as v, regexp_split_to_array(t, {p}) as g from d where regexp_matches(t, {p})), "
+            f"{name}_i as (select doc, w, v, g, unnest(range(1, len(w) + 1)) as i from {name}_a), "
+            f"{name} as (select doc, w[i] as m, v[i] as v, g[i] as lead, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) as bigint) as s from {name}_i)"
+        )
+
+    window = WINDOW
+    return (
+        "with d as (select row_number() over () as doc, doc_id, coalesce(text, '') as t from documents), "
+        + ", ".join(matches(*x) for x in (("assign", ASSIGN, 2), ("access", ACCESS, 1), ("hex", HEX, 1), ("cand", CANDIDATE, 1)))
+        + ", base as (select doc, s, 0 as k, s + length(m) as e from assign where length(v) >= 12 union all select doc, s, 1, s + length(m) from access where length(m) >= 18 union all select doc, s, 2, s + length(m) from hex), "
+        f"c as (select doc, s, m, case when regexp_full_match(m, '[0-9A-Fa-f]+') then {HEX_BITS} else {BASE64_BITS} end as least from cand where regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') "
+        f"and not regexp_matches(m, {quote(ALLOWED)}) and not regexp_matches(lead, {quote(ANNOUNCED)})), "
+        f"win as (select doc, s, least, i, substr(m, i + 1, {window}) as w from (select *, unnest(range(0, length(m) - {window} + 1)) as i from c)), "
+        "ch as (select doc, s, least, i, ch, count(*) as n from (select doc, s, least, i, unnest(string_split(w, '')) as ch from win) group by all), "
+        f"bits as (select doc, s, least, i, log2({window}) - sum(n * log2(n)) / {window} as b from ch group by all), "
+        f"high as (select doc, s + min(i) as s, 3 as k, s + max(i) + {window} as e from bits where b >= least - 1e-9 group by doc, bits.s), "
+        "more as (select * from high h where not exists (select 1 from base b where b.doc = h.doc and b.s <= h.s and b.e >= h.e)), "
+        f"every as (select *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e as span from (select * from base union all select * from more)), "
+        "j as (select doc, count(*) filter (where k = 0) as a, count(*) filter (where k = 1) as b, count(*) filter (where k = 2) as c, "
+        "string_agg(span, ',' order by s, k) filter (where k < 3) as bt, string_agg(span, ',' order by s, k) as ft from every group by doc) "
+        "select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(bt, '')) as base_sha256, coalesce(ft, '') as spans from d left join j using (doc)"
+    )
+
+
+OP2_SQL = _sql()

@@ -371,3 +371,19 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select *, length(h) // 2 as n from d),
+w as (select r, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) as k from (select r, h, unnest(range(0, n - {LENGTH - 1})) as p from n where n >= {LENGTH})),
+t as (select k from w group by k having count(*) > 1),
+c as (select r, p from w semi join t using (k)),
+i as (select r, p, case when p - lag(p) over (partition by r order by p) <= {LENGTH} then 0 else 1 end as new from c),
+g as (select r, p, sum(new) over (partition by r order by p) as g from i),
+s as (select r, g, min(p) as s, max(p) + {LENGTH} as e from g group by r, g),
+x as (select *, coalesce(lag(e) over (partition by r order by s), 0) as before from s),
+k as (select r, count(*) as n_spans, sum(e - s) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept from x join n using (r) group by r)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from n left join k using (r)
+"""

@@ -43,7 +43,8 @@ CUT = 5
 #: The pages of one host are dealt to so many tasks when they meet its verdict.
 SALTS = 64
 THRESHOLD = 1.0
-_LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
+_BLANK = r"\x20\x09-\x0D"
+_LINK = rf"""(?i)href[{_BLANK}]*=[{_BLANK}]*["']?[{_BLANK}]*((?:https?:)?//[^"'{_BLANK}>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -136,3 +137,40 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The same in SQL, the iterations written out one after the other."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rest = lambda url: f"case when instr(coalesce({url}, ''), '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end"
+    host = lambda url: f"translate(regexp_extract({rest(url)}, '^([^/?#]*)', 1), '{upper}', '{lower}')"
+    link = _LINK.replace("'", "''")
+    cases: dict[str, list[str]] = {"rule": [], "said": []}
+    for said, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        own, _, start = rule.partition("/")
+        fits = f"(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '/{start}')"
+        cases["rule"].append(f"when {fits} then '{rule}'")
+        cases["said"].append(f"when {fits} then '{said}'")
+    steps = []
+    for i in range(1, ITERATIONS + 1):
+        steps.append(
+            f"s{i} as materialized (select host, sum(trust) as trust, sum(distrust) as distrust from (select * from s0 "
+            f"union all select dst, fwd * trust * {DAMPING}::double, 0::double from edges join s{i - 1} on src = host "
+            f"union all select src, 0::double, rev * distrust * {DAMPING}::double from edges join s{i - 1} on dst = host) group by host)"
+        )
+    return (
+        f"with h as (select page_id, html, {host('url')} as host, regexp_extract({rest('url')}, '^[^/?#]*([^?#]*)', 1) as path from pages), "
+        f"r as (select *, case {' '.join(cases['rule'])} end as rule, case {' '.join(cases['said'])} end as said from h), "
+        "m as (select host, count(*) filter (where said = 'allow')::double as a, count(*) filter (where said = 'block')::double as b from r where said is not null and host <> '' group by host), "
+        "t as (select coalesce(nullif(sum(a), 0), 1) as sa, coalesce(nullif(sum(b), 0), 1) as sb from m), "
+        f"s0 as materialized (select host, a / sa * {1 - DAMPING}::double as trust, b / sb * {1 - DAMPING}::double as distrust from m, t), "
+        f"l as (select host as src, unnest(regexp_extract_all(html, '{link}', 1)) as link from h), "
+        f"e as (select src, {host('full_link')} as dst from (select src, case when starts_with(link, '//') then 'http:' || link else link end as full_link from l)), "
+        "c as (select src, dst, count(*) as n from e where src <> '' and dst <> '' and src <> dst group by all), "
+        "edges as materialized (select src, dst, n / sum(n) over (partition by src) as fwd, n / sum(n) over (partition by dst) as rev from c), "
+        + ", ".join(steps)
+        + f" select page_id, r.host, path, rule, coalesce(said, case when distrust > trust * {THRESHOLD}::double then 'block' end, 'allow') as verdict from r left join s{ITERATIONS} s on r.host = s.host"
+    )
+
+
+OP10_SQL = _sql()

@@ -84,3 +84,27 @@ def boundary_split(batches: DataFrame, ratio: float) -> DataFrame:
     apart = F.abs(F.col("cum") - F.col("total") * F.lit(float(ratio)))
     best = start.unionByName(ends).withColumn("total", total.scalar()).agg(F.min(F.struct(apart.alias("apart"), "cum", "k")).alias("b"))
     return best.select(F.col("b.k").alias("first_batches"), F.col("b.cum").alias("first_rows"))
+
+
+def auto_split(tables: dict[str, DataFrame], params: RevenueParams, batches: int = 16) -> tuple[DataFrame, Prediction]:
+    """split_revenue at the share that the model predicts from one timed run of each side.
+
+    Both sides run on all rows first and must agree; the share is then moved to the
+    nearest of the boundaries between equal batches of the hash space.
+    """
+    import time
+
+    from plinth.operators.compare import first_mismatch, numbered
+
+    results, ms = [], []
+    for ratio in (1.0, 0.0):
+        began = time.perf_counter()
+        rows = split_revenue(tables, params, ratio).collect()
+        ms.append(max((time.perf_counter() - began) * 1000, 1e-6))
+        results.append(tables["nation"].sparkSession.createDataFrame(rows, "n_name string, revenue_1e4 bigint"))
+    order = (F.desc("revenue_1e4"), "n_name")
+    if not first_mismatch(*[numbered(r, *order) for r in results], ["n_name", "revenue_1e4"]).isEmpty():
+        raise RuntimeError("the two sides differ on all rows")
+    found = predict_ratio(max(1, tables["lineitem"].count()), ms[0], ms[1])
+    snapped = math.ceil(found.ratio * batches - 0.5) / batches
+    return split_revenue(tables, params, snapped), Prediction(snapped, snapped * ms[0], (1 - snapped) * ms[1])

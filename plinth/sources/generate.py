@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,18 @@ ORDERS_PAYLOAD, PARTSUPP_PAYLOAD = 3, 1
 
 
 def pk_relation(spark: SparkSession, n: int, seed: int | None = None) -> DataFrame:
-    """key 1..n once each, payload the row's number; a seed shuffles keys over payloads."""
-    base = spark.range(n).select(F.col("id"))
+    """key 1..n once each, payload the row's number from 0; a seed permutes the keys.
+
+    The permutation multiplies the row's number by a factor that has no divisor in
+    common with n, so no row needs to know of any other.
+    """
     if seed is None:
-        return base.select((F.col("id") + 1).alias("key"), F.col("id").alias("payload"))
-    # An odd multiplier modulo a power of two permutes; cycle out of range values would be
-    # dropped, so order by a keyed hash instead.
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id"))
-    return base.select(rank.cast("bigint").alias("key"), F.col("id").alias("payload"))
+        return spark.range(n).select((F.col("id") + 1).alias("key"), F.col("id").alias("payload"))
+    factor = max(1, int(n * 0.6180339887)) + seed % max(1, n // 7)
+    while math.gcd(factor, n) != 1:
+        factor += 1
+    place = (F.col("id").cast("decimal(20,0)") * F.lit(factor).cast("decimal(18,0)") + F.lit(seed % n).cast("decimal(18,0)")) % F.lit(n).cast("decimal(18,0)")
+    return spark.range(n).select((place.cast("bigint") + 1).alias("key"), F.col("id").alias("payload"))
 
 
 def fk_relation(spark: SparkSession, n: int, max_id: int) -> DataFrame:
@@ -27,11 +33,10 @@ def fk_relation(spark: SparkSession, n: int, max_id: int) -> DataFrame:
 
 
 def fk_from_pk(pk: DataFrame, n: int) -> DataFrame:
-    """n rows repeating the tuples of pk in order of payload."""
+    """n rows repeating the tuples of pk, whose payloads number its rows from 0."""
     size = pk.count()
     base = pk.sparkSession.range(n).select("id", (F.col("id") % size).alias("at"))
-    numbered = pk.select("key", (F.row_number().over(Window.orderBy("payload")) - 1).cast("bigint").alias("at"))
-    return base.join(numbered, "at").select("key", F.col("id").alias("payload"))
+    return base.join(pk.select("key", F.col("payload").alias("at")), "at").select("key", F.col("id").alias("payload"))
 
 
 def uniform_relation(spark: SparkSession, n: int, max_id: int = 2**31 - 1, seed: int = 1) -> DataFrame:
@@ -39,24 +44,35 @@ def uniform_relation(spark: SparkSession, n: int, max_id: int = 2**31 - 1, seed:
     return spark.range(n).select(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(max_id)).alias("key"), F.col("id").alias("payload"))
 
 
-def zipf_cdf(spark: SparkSession, max_id: int, theta: float) -> DataFrame:
-    """key 1..max_id and the cumulative share of its Zipf weight 1 / key**theta."""
-    weights = spark.range(1, max_id + 1).select(F.col("id").alias("key"), F.pow(F.col("id").cast("double"), F.lit(-theta)).alias("w"))
-    total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return weights.select("key", (F.sum("w").over(Window.orderBy("key")) / F.sum("w").over(total)).alias("cdf"))
+def zipf_cdf(spark: SparkSession, max_id: int, theta: float, block: int = 1 << 16) -> DataFrame:
+    """key 1..max_id and the cumulative share of its Zipf weight 1 / key**theta.
+
+    Weights are summed within blocks of keys, and blocks over their own sums.
+    """
+    weights = spark.range(1, max_id + 1).select(F.col("id").alias("key"), F.floor((F.col("id") - 1) / block).alias("block"), F.pow(F.col("id").cast("double"), F.lit(-theta)).alias("w"))
+    sums = weights.groupBy("block").agg(F.sum("w").alias("s"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = sums.select("block", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("before"), F.sum("s").over(whole).alias("total"))
+    within = F.sum("w").over(Window.partitionBy("block").orderBy("key"))
+    return weights.withColumn("own", within).join(blocks, "block").select("key", ((F.col("before") + F.col("own")) / F.col("total")).alias("cdf"), (F.col("w") / F.col("total")).alias("share"))
 
 
 def zipf_relation(spark: SparkSession, n: int, max_id: int, theta: float, seed: int = 1) -> DataFrame:
     """n keys of a Zipf distribution over 1..max_id; payload is the row's number.
 
-    A row's hash as a share of 1 is looked up in the distribution, held as an array
-    of max_id doubles, by binary search.
+    A row's hash as a share of 1 meets the key whose range of the distribution
+    holds it, by a join on slots of equal width that the ranges are cut into.
     """
-    steps = [1 << i for i in reversed(range(max(1, max_id.bit_length())))]
-    held = spark.range(1).crossJoin(zipf_cdf(spark, max_id, theta).agg(F.transform(F.sort_array(F.collect_list(F.struct("key", "cdf"))), lambda x: x["cdf"]).alias("cdf"))).select("cdf").scalar()
-    drawn = spark.range(n).select("id", (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u"), held.alias("cdf"))
-    below = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= max_id) & (F.coalesce(F.get("cdf", lo + s - 1), F.lit(2.0)) <= F.col("u")), lo + s).otherwise(lo))
-    return drawn.select(F.least(below + 1, F.lit(max_id)).cast("bigint").alias("key"), F.col("id").alias("payload"))
+    slots = max(1, max_id)
+    cdf = zipf_cdf(spark, max_id, theta).select("key", (F.col("cdf") - F.col("share")).alias("lo"), F.when(F.col("key") == max_id, F.lit(2.0)).otherwise(F.col("cdf")).alias("hi"))
+    slot = lambda x: F.least(F.floor(F.greatest(x, F.lit(0.0)) * slots).cast("bigint"), F.lit(slots - 1).cast("bigint"))
+    # Neighbours' bounds are rounded alike, so a bound belongs to the upper range on both sides.
+    bounds = cdf.withColumn("lo", F.when(F.col("key") == 1, F.lit(-1.0)).otherwise(F.round("lo", 12))).withColumn("hi", F.round("hi", 12))
+    ranges = bounds.withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    drawn = spark.range(n).select("id", (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u"))
+    met = drawn.withColumn("slot", slot(F.col("u"))).join(ranges, "slot").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return met.select("key", F.col("id").alias("payload"))
 
 
 def star_data(spark: SparkSession, scale: float = 1.0, lineorder: int | None = None, orders: int | None = None, partsupp: int | None = None) -> dict[str, DataFrame]:

@@ -99,3 +99,23 @@ def kernel_metrics(long_rows: DataFrame, kernel: str) -> DataFrame:
     if not own.groupBy("metric").agg(F.count_distinct("value").alias("n")).filter("n > 1").isEmpty():
         raise ValueError("a metric has several values")
     return own.groupBy("kernel").pivot("metric").agg(F.first("value"))
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """scale, ratio, p50 of fixed-share runs from a session file, a summary CSV or a raw CSV.
+
+    A `.jsonl` file gives the median of its measured requests by selected_cpu_ratio;
+    a CSV with a column request_median_ms is a summary, one with query_total_ms raw
+    records. The scale of a session file is the name of its folder.
+    """
+    if path.endswith(".jsonl"):
+        scale = path.rstrip("/").split("/")[-2] if path.count("/") else ""
+        measured = read_session(spark, path)[1].filter("not is_warmup and status = 'ok'")
+        return measured.groupBy(F.lit(scale).alias("scale"), F.col("selected_cpu_ratio").alias("ratio")).agg(F.percentile("query_total_ms", F.lit(0.5)).alias("p50"))
+    raw = spark.read.csv(path, header=True)
+    scale = F.col("scale_factor").cast("string").alias("scale")
+    if "request_median_ms" in raw.columns:
+        return raw.filter("cpu_ratio is not null").select(scale, F.col("cpu_ratio").cast("double").alias("ratio"), F.col("request_median_ms").cast("double").alias("p50"))
+    if "query_total_ms" in raw.columns:
+        return raw.groupBy(scale, F.col("cpu_ratio").cast("double").alias("ratio")).agg(F.percentile(F.col("query_total_ms").cast("double"), F.lit(0.5)).alias("p50"))
+    raise ValueError(f"{path}: neither a summary nor raw records")

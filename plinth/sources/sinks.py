@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import os
@@ -82,3 +83,16 @@ def compact_csv(df: DataFrame, columns: list[str], path: str) -> None:
     if missing:
         raise ValueError(f"no such columns: {missing}")
     df.select(*columns).write.csv(path, header=True)
+
+
+def audited_result(path: str, sql: str, rows: Rows, table_hashes: Mapping[str, str]) -> dict:
+    """Write a result with what it was made from: the SQL and its hash, the tables' hashes, the rows' hash."""
+    body = {
+        "sql": sql,
+        "sql_sha256": hashlib.sha256(sql.encode()).hexdigest(),
+        "tables": dict(sorted(table_hashes.items())),
+        "rows": [{"nation": n, "revenue_1e4": r} for n, r in rows],
+        "result_hash": result_hash(rows),
+    }
+    write_atomically(path, json.dumps(body, indent=2, ensure_ascii=False))
+    return body

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.dates import parse_day
@@ -44,21 +44,19 @@ def read_tbl_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def read_relation(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """key, payload from lines `k v`, `k,v`, `k|v` or `k` after one header line.
+    """key, payload from lines `k v`, `k,v`, `k|v` or `k` after one header line a file.
 
-    A line with a key alone has payload 0. rows keeps the first rows in file order.
+    A line with a key alone has payload 0; a key that is no number raises. rows keeps
+    the first rows in file order.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    # The first line of the file has the least id; its value is the header.
-    body = lines.filter("at > 0")
-    parts = F.split(F.btrim("value"), r"[ ,|]+")
-    out = body.select("at", F.get(parts, F.lit(0)).cast("bigint").alias("key"), F.coalesce(F.get(parts, F.lit(1)).cast("bigint"), F.lit(0).cast("bigint")).alias("payload"))
+    sample = spark.read.text(path).limit(2).collect()[-1:]
+    mark = next((c for c in "|, " if sample and c in sample[0]["value"].strip()), "|")
+    raw = spark.read.csv(path, schema="key long, payload long", header=True, sep=mark)
+    bad = F.raise_error(F.lit("a key is no number")).cast("bigint")
+    out = raw.select(F.coalesce("key", bad).alias("key"), F.coalesce("payload", F.lit(0).cast("bigint")).alias("payload"), F.monotonically_increasing_id().alias("at"))
     return (out.orderBy("at").limit(rows) if rows is not None else out).select("key", "payload")
 
 
 def write_relation(df: DataFrame, path: str) -> None:
-    """`#KEY, VAL` header and `k v` lines, in order of payload, as one file of a folder."""
-    text = F.concat_ws(" ", F.col("key").cast("string"), F.col("payload").cast("string"))
-    head = df.sparkSession.createDataFrame([("#KEY, VAL", -1)], "value string, at long")
-    body = df.select(text.alias("value"), F.row_number().over(Window.orderBy("payload", "key")).cast("bigint").alias("at"))
-    head.unionByName(body).orderBy("at").coalesce(1).select("value").write.text(path)
+    """`#KEY, VAL` header and `k v` lines, range-sorted by payload over the files of a folder."""
+    df.orderBy("payload", "key").select(F.col("key").alias("#KEY,"), F.col("payload").alias("VAL")).write.csv(path, sep=" ", header=True, quote="")

@@ -152,3 +152,25 @@ def test_verify_result():
     counters = {"input_rows": 6, "matched_rows": 2, "cpu_rows": 6, "gpu_rows": 0}
     assert verify_result(good, "248d10b6ee352953", counters) == []
     assert len(verify_result(good[::-1], "248d10b6ee352953", {"input_rows": 1, "matched_rows": 2, "cpu_rows": 0, "gpu_rows": 0})) == 4
+
+
+def test_auto_split(tiny):
+    df, found = hybrid.auto_split(tiny, RevenueParams(), batches=8)
+    assert rows(df) == [("JAPAN", 1900000), ("INDIA", 900000)]
+    assert 0 <= found.ratio <= 1 and (found.ratio * 8).is_integer()
+
+
+def test_command_line(spark, tiny, tmp_path, capsys):
+    from plinth.__main__ import main
+    from plinth.sources.dataset import write_arrow_dataset
+
+    write_arrow_dataset(tiny, str(tmp_path / "ds"))
+    main(["revenue", "--data-dir", str(tmp_path / "ds"), "--source", "arrow", "--strict"])
+    out = capsys.readouterr().out
+    assert "JAPAN,1900000,190.00" in out and "result_hash,248d10b6ee352953" in out
+    main(["revenue", "--data-dir", str(tmp_path / "ds"), "--source", "arrow", "--cpu-ratio", "0.5", "--format", "json"])
+    assert '"result_hash": "248d10b6ee352953"' in capsys.readouterr().out
+    main(["check", "--data-dir", str(tmp_path / "ds"), "--source", "arrow"])
+    assert "| orders_in_window | 4 |" in capsys.readouterr().out
+    main(["join", "-a", "prh", "-r", "100", "-s", "400"])
+    assert "prh,400," in capsys.readouterr().out

@@ -56,6 +56,7 @@ def test_relation_keys_alone_and_round_trip(spark, tmp_path):
     assert [tuple(r) for r in text.read_relation(spark, str(tmp_path / "k.txt"), 9).collect()] == [(5, 0), (6, 0)]
     df = spark.createDataFrame([(7, 0), (8, 1), (9, 2)], "key long, payload long")
     text.write_relation(df, str(tmp_path / "out"))
+    assert "#KEY, VAL" in next((tmp_path / "out").glob("part-*")).read_text()
     assert sorted(map(tuple, text.read_relation(spark, str(tmp_path / "out")).collect())) == [(7, 0), (8, 1), (9, 2)]
 
 
@@ -178,3 +179,31 @@ def test_regret_of_a_best_of_zero(spark):
     auto = spark.createDataFrame([(1, 2.0)], "scale int, auto_ms double")
     row = stats.best_and_regret(points, auto).first()
     assert (row["best_ratio"], row["regret_ms"], row["regret_percent"]) == (0.25, 2.0, None)
+
+
+def test_prepare_tbl(folder, tmp_path):
+    made = dataset.prepare_tbl(str(folder), str(tmp_path / "copy"))
+    assert made["tables"]["region"]["rows"] == 5
+    linked = dataset.prepare_tbl(str(folder), str(tmp_path / "linked"), link=True)
+    assert linked == made and (tmp_path / "linked/region.tbl").is_symlink()
+
+
+def test_audited_result(tmp_path):
+    body = sinks.audited_result(str(tmp_path / "o.json"), "select 1", [("JAPAN", 1900000), ("INDIA", 900000)], {"b": "2", "a": "1"})
+    assert json.loads((tmp_path / "o.json").read_text()) == body
+    assert body["result_hash"] == "248d10b6ee352953" and list(body["tables"]) == ["a", "b"]
+
+
+def test_observations(spark, tmp_path):
+    (tmp_path / "sf1").mkdir()
+    requests = [{"status": "ok", "is_warmup": i == 0, "selected_cpu_ratio": 0.5, "query_total_ms": float(i), "request_index": i} for i in range(4)]
+    (tmp_path / "sf1/s.jsonl").write_text(sinks.session_jsonl({}, requests))
+    (tmp_path / "summary.csv").write_text("scale_factor,cpu_ratio,request_median_ms\n1,0.25,3.5\n1,,9\n")
+    (tmp_path / "raw.csv").write_text("scale_factor,cpu_ratio,query_total_ms\n1,0.25,3\n1,0.25,5\n")
+    (tmp_path / "bad.csv").write_text("a\n1\n")
+    read = lambda name: [tuple(r) for r in records.read_observations(spark, str(tmp_path / name)).collect()]
+    assert read("sf1/s.jsonl") == [("sf1", 0.5, 2.0)]
+    assert read("summary.csv") == [("1", 0.25, 3.5)]
+    assert read("raw.csv") == [("1", 0.25, 4.0)]
+    with pytest.raises(ValueError, match="neither"):
+        read("bad.csv")

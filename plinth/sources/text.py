@@ -59,4 +59,5 @@ def read_relation(spark: SparkSession, path: str, rows: int | None = None) -> Da
 
 def write_relation(df: DataFrame, path: str) -> None:
     """`#KEY, VAL` header and `k v` lines, range-sorted by payload over the files of a folder."""
-    df.orderBy("payload", "key").select(F.col("key").alias("#KEY,"), F.col("payload").alias("VAL")).write.csv(path, sep=" ", header=True, quote="")
+    line = F.concat_ws(" ", F.col("key").cast("string"), F.col("payload").cast("string")).alias("#KEY, VAL")
+    df.orderBy("payload", "key").select(line).write.option("comment", "\x02").csv(path, sep="\x01", header=True)

@@ -103,3 +103,14 @@ def scale_order(scale: Column) -> list[Column]:
     """Sort keys: numeric scales first by value, then the others as text."""
     number = F.expr(f"try_cast({scale._jc.toString()} as double)")
     return [number.isNull().asc(), number.asc(), scale.asc()]
+
+
+def evaluation(points: DataFrame, auto: DataFrame, baseline: DataFrame) -> DataFrame:
+    """scale, best_ratio, best_ms, auto_ms, regret_ms, regret_percent, break_even.
+
+    points has scale, ratio, p50 of fixed shares, baseline has scale, baseline_ms;
+    break_even lists the shares at which the fixed curve crosses the baseline.
+    """
+    deltas = points.join(baseline, "scale").select("scale", "ratio", (F.col("p50") - F.col("baseline_ms")).alias("delta"))
+    crossings = break_even(deltas).groupBy("scale").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("break_even"))
+    return best_and_regret(points, auto).join(crossings, "scale", "left")

@@ -207,3 +207,23 @@ def test_observations(spark, tmp_path):
     assert read("raw.csv") == [("1", 0.25, 4.0)]
     with pytest.raises(ValueError, match="neither"):
         read("bad.csv")
+
+
+def test_monitor():
+    import sys
+
+    from plinth.streaming.monitor import monitored
+
+    good = monitored([sys.executable, "-c", "x = b'1' * 50_000_000; import time; time.sleep(0.3); print('done')"])
+    assert (good.status, good.stdout) == ("ok", "done\n") and good.peak_kb > 40_000
+    assert monitored([sys.executable, "-c", "raise SystemExit(3)"]).returncode == 3
+    assert monitored([sys.executable, "-c", "import time; time.sleep(60)"], timeout_s=0.2).status == "timeout"
+    stubborn = "import signal, time; signal.signal(signal.SIGTERM, signal.SIG_IGN); print('x', flush=True); time.sleep(60)"
+    assert monitored([sys.executable, "-c", stubborn], timeout_s=0.5, grace_s=0.3).returncode == -9
+
+
+def test_evaluation(spark):
+    points = spark.createDataFrame([(1, 0.0, 9.0), (1, 0.5, 3.0), (1, 1.0, 6.0)], "scale int, ratio double, p50 double")
+    row = stats.evaluation(points, spark.createDataFrame([(1, 3.3)], "scale int, auto_ms double"), spark.createDataFrame([(1, 5.0)], "scale int, baseline_ms double")).first()
+    assert (row["best_ratio"], round(row["regret_percent"], 6)) == (0.5, 10.0)
+    assert [tuple(x) for x in row["break_even"]] == [(0.0, 0.5), (0.5, 1.0)]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import table
+from plinth.llm.common import slices, table
 
 MAX_TRAIN_DOCS = 6000
 MAX_FEATURES = 1500
@@ -163,7 +163,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     at = own.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.score(t) for t in batch.column(at).to_pylist()]
             spans = [[{"start": s, "end": e, "score": p} for s, e, p in x] for _, x in found]
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
 what it returns is written as Parquet in the shared folder and read again as the
 next one's docs. All but the last return the columns of documents.
+
+Documents without text or without a doc_id pass every filtering stage unless it
+finds something in them; rows that are equal throughout are one document after the
+third stage; the mix, which counts words, takes no document without words. Empty
+tables give an empty result, and without labels or benchmark items their stages
+keep everything. Columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,9 +18,9 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import materialize, table
 from plinth.llm.decontaminate import decontaminate
-from plinth.llm.jaccard import link_components
+from plinth.llm.jaccard import link_components, node
 from plinth.llm.line_dedup import dedup_lines
-from plinth.llm.mixing import mix
+from plinth.llm.mixing import mix, schedule
 from plinth.llm.toxicity import fit, score_documents, training_sample
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,13 +43,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join, the one with the smallest doc_id.
 
-    Documents without words, which link with nothing, stay, and so do those without
-    a doc_id; of rows with one doc_id that are kept, one of each text stays.
+    Documents without words, which link with nothing, stay; of rows with one doc_id
+    that are kept, one of each text stays.
     """
     linked = link_components(docs)
-    gone = linked.filter("component <> key and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if linked.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    gone = linked.filter("component <> key and n_shingles > 0").select("key").distinct()
+    kept = docs.join(gone, node(docs) == gone["key"], "left_anti").select(*COLUMNS)
+    if linked.groupBy("key").count().filter("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
 
@@ -54,8 +60,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how many of their words it takes, repeats counted."""
-    return mix(docs, COLUMNS).filter("taken > 0").drop("finish")
+    """Documents that the mix takes, in its order, with how many of their words it takes, repeats counted."""
+    return schedule(mix(docs, COLUMNS)).drop("finish")
 
 
 STAGES = [

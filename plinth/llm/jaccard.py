@@ -17,13 +17,11 @@ A document's set are its distinct shingles of five words. Two documents link whe
    document is first compared with the least document of each shingle, and what
    links is contracted to components; then only pairs in different components that
    share a shingle are counted. A large group of near copies so costs a star, not
-   all its pairs. A pair is compared when it shares as many prefix shingles as a
-   linked pair must.
+   all its pairs. Pairs are met by shingle and size, only where the shingle's
+   places in both documents and what either shares with anyone let them link, and
+   are compared when they share k such shingles.
 4. Comparison is exact, on the whole texts of both documents.
 
-A document's prefix rows that others share bound its overlap with any other, and so
-keep those out of the counting that differ too much from all they meet.
-
 Defined cases: null and empty texts and texts of blanks have no shingles and link with
 nothing; texts of fewer than five words are one shingle; rows with one doc_id count as
 one document, linked by any of its texts; a null doc_id is told apart by its text and
@@ -33,14 +31,15 @@ gives an empty result; columns of docs other than doc_id and text are not looked
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import discard, materialize, table
+from plinth.llm.common import discard, materialize, slices, table
 from plinth.llm.components import components
 from plinth.llm.hashing import mix, shingle_sets
 
@@ -51,9 +50,8 @@ MOST_MATCHES = 4
 CELLS = 1 << 18
 #: Cost of one comparison and of one prefix row, in index entries read.
 COMPARE, EMIT = 50.0, 1.0
-#: Candidate pairs for each document above which another star round comes first.
-PAIRS_PER_DOC = 20
-STAR_ROUNDS = 4
+#: Ratio of neighbouring bands of set sizes.
+BAND = 1.05
 _NO_ID = 1 << 62
 _U = np.uint64
 
@@ -76,7 +74,7 @@ def sets_and_sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             n = len(columns[0])
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, tag, np.int32)), *[c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]], names=["tag", "id", "n", "a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).cast(pa.int64())
             n, a, b = [], [], []
             for own in shingle_sets(batch.column(1).to_pylist(), width):
@@ -94,9 +92,9 @@ def sets_and_sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "tag int, id long, n long, a long, b long")
 
 
-def _key(doc_id, digest):
-    """A document's node: its id, or a number above all ids from the digest of its text's set."""
-    return F.coalesce(doc_id.cast("bigint"), F.shiftrightunsigned(digest, 2).bitwiseOR(F.lit(_NO_ID)))
+def node(docs: DataFrame) -> Column:
+    """A document's node: its id, or a number above all ids from its text's hash."""
+    return F.coalesce(docs["doc_id"].cast("bigint"), F.shiftrightunsigned(F.xxhash64(docs["text"]), 2).bitwiseOR(F.lit(_NO_ID)))
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -111,15 +109,13 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
         held = shared.value
         noise = held[0].sum() / CELLS
         floor = noise + 6 * np.sqrt(noise) + 2
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(3)]
             ids = batch.column(0).to_pylist()
             for doc, own in zip(ids, shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 n = len(own)
                 if not n:
                     continue
-                if doc is None:
-                    doc = (int(mix(own).sum(dtype=_U)) >> 2) | _NO_ID
                 one, two = _cells(own)
                 seen = np.minimum(held[0][one], held[1][two]).astype(np.float64)
                 many = np.maximum(seen - noise, 1.0)
@@ -133,13 +129,13 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
                 k = int(ks[np.argmin(EMIT * length + found + COMPARE * found / ks)])
                 size = n - least + k
                 own = own[order[:size]]
-                columns = (_signed(own), np.full(size, doc, np.int64), n << 8 | np.maximum(1, np.arange(size) - (n - least) + 1) << 4 | k)
+                columns = (_signed(own), np.full(size, doc, np.int64), n << 32 | np.arange(size) << 8 | k)
                 for to, c in zip(out, columns, strict=True):
                     to.append(c)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["token", "doc", "meta"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "token long, doc long, meta long")
+    return docs.select("doc_id", "text").mapInArrow(scan, "token long, doc long, meta long")
 
 
 def shared_tokens(found: DataFrame) -> DataFrame:
@@ -153,17 +149,23 @@ def shared_tokens(found: DataFrame) -> DataFrame:
 
 
 def _opened(t: DataFrame) -> DataFrame:
-    return t.select("token", "doc", F.shiftright("meta", 8).alias("n"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("lev"), F.col("meta").bitwiseAND(F.lit(15)).alias("k"))
+    return t.select(
+        "token",
+        "doc",
+        F.shiftright("meta", 32).alias("n"),
+        F.shiftright("meta", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("at"),
+        F.col("meta").bitwiseAND(F.lit(0xFF)).alias("k"),
+    )
 
 
-def _bounded(tokens: DataFrame, percent: int) -> DataFrame:
-    """tokens with o, a bound on the document's overlap with any other.
+def _with_shared(tokens: DataFrame) -> DataFrame:
+    """tokens with s, how many of its document's prefix shingles other documents have in theirs."""
+    return tokens.join(tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("s")), "doc")
 
-    What the document shares lies in its prefix rows here or behind its prefix.
-    """
-    least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9))
-    held = tokens.groupBy("doc").agg((F.count(F.lit(1)) + F.max(least - F.col("k"))).alias("o"))
-    return tokens.join(held, "doc")
+
+def _least(n, percent: int):
+    """Overlap with any linked partner at least."""
+    return F.ceil(F.lit(percent) * n / F.lit(100.0) - F.lit(1e-9))
 
 
 def _overlap(n_a, n_b, percent: int):
@@ -172,74 +174,79 @@ def _overlap(n_a, n_b, percent: int):
 
 
 def _needed(n_a, n_b, k, percent: int):
-    """Prefix shingles that a linked pair of these sizes shares at least."""
-    return F.greatest(k, _overlap(n_a, n_b, percent) - F.ceil(F.lit(percent) * F.greatest(n_a, n_b) / F.lit(100.0) - F.lit(1e-9)) + k)
+    """Prefix shingles that a linked pair of these sizes shares at least, in prefixes of k."""
+    return F.greatest(k, _overlap(n_a, n_b, percent) - _least(F.greatest(n_a, n_b), percent) + k)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link, compared by the whole texts."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_t"))
-    left = texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb"))
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts: dict[str, int] = {}
-                ia = [texts.setdefault(t or "", len(texts)) for t in part.column(2).to_pylist()]
-                ib = [texts.setdefault(t or "", len(texts)) for t in part.column(3).to_pylist()]
-                sets = list(shingle_sets(texts, width))
-                keep = []
-                for i, j in zip(ia, ib, strict=True):
-                    x, y = sets[i], sets[j]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in slices(batches, 128):
+            texts: dict[str, int] = {}
+            ia = [texts.setdefault(t or "", len(texts)) for t in part.column(2).to_pylist()]
+            ib = [texts.setdefault(t or "", len(texts)) for t in part.column(3).to_pylist()]
+            sets = list(shingle_sets(texts, width))
+            keep = []
+            for i, j in zip(ia, ib, strict=True):
+                x, y = sets[i], sets[j]
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
+            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(scan, "a long, b long").distinct()
 
 
 def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents in different components that share as many tokens as linked ones must."""
-    x = tokens.select("token", *[F.col(c).alias(c + "_a") for c in ("doc", "n", "lev", "k", "o", "label")])
-    y = tokens.select("token", *[F.col(c).alias(c + "_b") for c in ("doc", "n", "lev", "k", "o", "label")])
-    k = F.least("k_a", "k_b")
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    enough = F.least("o_a", "o_b") >= _overlap(F.col("n_a"), F.col("n_b"), percent)
-    met = x.join(y, "token").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & sizes & enough & (F.col("lev_a") <= k) & (F.col("lev_b") <= k))
-    counted = met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min(k).alias("k"))
-    return counted.filter(F.col("c") >= _needed(F.col("n_a"), F.col("n_b"), F.col("k"), percent)).select("a", "b")
-
-
-def _labelled(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """tokens that may still join two components, with the documents' labels.
-
-    A document leaves a token's group when its bound is below the overlap that
-    even the smallest document of the group would need; a group of one
-    component goes as a whole.
+    """Pairs of documents in different components that may link.
+
+    For every k up to both documents' k, a linked pair shares k shingles among the
+    first n - overlap + k of each, where the overlap is the one that their sizes need.
+    So a row far back in its document's order can only meet smaller documents: rows
+    are met by (token, band of the smaller one's size), the larger one's rows being
+    listed for the bands that they can meet. What a pair can share at all is
+    bounded by the shingles that either shares with anyone, and what lies
+    behind the prefixes.
     """
-    sizes = tokens.groupBy("token").agg(F.min("n").alias("least"))
-    small = F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - F.lit(1e-9)))
-    able = tokens.join(sizes, "token").filter(F.col("o") >= _overlap(F.col("n"), small, percent)).select(*tokens.columns)
-    own = able.join(labels, able["doc"] == labels["node"], "left").select(*tokens.columns, F.coalesce("label", "doc").alias("label"))
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(BAND))).cast("int")
+    n, reach = F.col("n"), F.col("n") - F.col("at") - 1 + F.col("k")
+    most = F.least(n, F.floor(reach * F.lit(100.0 + percent) / F.lit(float(percent)) + F.lit(1e-9)) - n)
+    columns = ("doc", "n", "at", "k", "s", "label")
+    small = tokens.filter(_overlap(n, n, percent) <= reach).select("token", band(n).alias("band"), *[F.col(c).alias(c + "_a") for c in columns])
+    large = tokens.filter(most >= _least(n, percent)).select("token", F.explode(F.sequence(band(_least(n, percent)), band(most))).alias("band"), *[F.col(c).alias(c + "_b") for c in columns])
+    k, need = F.least("k_a", "k_b"), _overlap(F.col("n_a"), F.col("n_b"), percent)
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
+    sizes = F.col("n_a") * 100 >= F.col("n_b") * percent
+    early = (F.col("at_a") + 1 <= F.col("n_a") - need + k) & (F.col("at_b") + 1 <= F.col("n_b") - need + k)
+    behind = F.greatest(_least(F.col("n_a"), percent) - F.col("k_a"), _least(F.col("n_b"), percent) - F.col("k_b"))
+    enough = F.least("s_a", "s_b") + behind >= need
+    met = small.join(large, ["token", "band"]).filter((F.col("label_a") != F.col("label_b")) & ordered & sizes & early & enough)
+    counted = met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(k).alias("k"))
+    return counted.filter("c >= k").select("a", "b")
+
+
+def _labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """tokens with the documents' labels, less groups of one component."""
+    own = tokens.join(labels, tokens["doc"] == labels["node"], "left").select(*tokens.columns, F.coalesce("label", "doc").alias("label"))
     mixed = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     return own.join(mixed, "token", "left_semi")
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key, n_shingles, component for each row of docs; see ``_key``."""
-    spark = docs.sparkSession
+    """key, n_shingles, component for each row of docs; a key is a ``node``."""
+    docs = docs.select(node(docs).alias("doc_id"), "text")
     scanned = materialize(sets_and_sketch(docs, width), "jaccard-sets")
-    sets = scanned.filter("tag = 0").select(F.col("id").alias("doc_id"), "n", "a", "b").withColumn("key", _key(F.col("doc_id"), F.col("a")))
+    sets = scanned.filter("tag = 0").select(F.col("id").alias("key"), "n", "a", "b")
     counted = scanned.filter("tag = 1").groupBy("id", "n").agg(F.sum("a").alias("c")).toArrow()
     sketch = np.zeros((2, CELLS), np.int64)
     sketch[counted["id"].to_numpy(), counted["n"].to_numpy()] = counted["c"].to_numpy()
 
     # A table of its own, so that the join's other side can be split where a class is large.
     classes = materialize(sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep")), "jaccard-digests")
-    members = materialize(sets.join(classes, ["n", "a", "b"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
+    members = materialize(sets.join(classes, ["n", "a", "b"], "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
     copies = members.filter("rep <> key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     later = copies.select(F.col("a").alias("doc")).distinct()
 
@@ -247,46 +254,26 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     shared = materialize(shared_tokens(found), "jaccard-shared")
     discard(found)
     alive = _opened(shared.join(later, "doc", "left_anti"))
-    tokens = materialize(_bounded(shared_tokens(alive), percent), "jaccard-tokens")
+    tokens = materialize(_with_shared(shared_tokens(alive).drop("lead")), "jaccard-tokens")
     discard(shared)
 
-    star = tokens.filter("doc <> lead").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("k").alias("k"))
-    sizes = tokens.groupBy("doc").agg(F.max("n").alias("n_a"))
-    star = star.join(sizes, star["a"] == sizes["doc"]).filter(
-        (F.col("n_a") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_a") * percent) & (F.col("c") >= _needed(F.col("n_a"), F.col("n"), F.lit(1), percent))
-    )
+    heads = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("h")).select("token", F.col("h.doc").alias("a"), F.col("h.n").alias("n_a"))
+    star = tokens.join(heads, "token").filter((F.col("doc") != F.col("a")) & (F.col("n_a") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_a") * percent))
+    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n").alias("n")).filter(F.col("c") >= _needed(F.col("n_a"), F.col("n"), F.lit(1), percent))
     links = materialize(verify(star.select("a", "b"), docs, width, percent), "jaccard-links")
     labels = components(links)
-    tokens = materialize(_labelled(tokens.drop("lead"), labels, percent), "jaccard-open")
-
-    for _ in range(STAR_ROUNDS):
-        groups = tokens.groupBy("token", "label").count()
-        most = groups.groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if most <= PAIRS_PER_DOC * max(1, members.count()):
-            break
-        # The least document of each component in a group meets the least of the group's components.
-        heads = tokens.groupBy("token").agg(F.min(F.struct("label", "doc", "n")).alias("h")).select("token", F.col("h.label").alias("hl"), F.col("h.doc").alias("a"), F.col("h.n").alias("hn"))
-        met = tokens.join(heads, "token").filter((F.col("label") != F.col("hl")) & (F.col("hn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("hn") * percent))
-        star = met.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("hn").alias("n_a"), F.max("n").alias("n")).filter(F.col("c") >= _needed(F.col("n_a"), F.col("n"), F.lit(1), percent))
-        new = materialize(verify(star, docs, width, percent), "jaccard-links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        labels = components(links)
-        tokens = materialize(_labelled(tokens.drop("label"), labels, percent), "jaccard-open")
-
-    rest = materialize(verify(_candidates(tokens, percent), docs, width, percent), "jaccard-links")
+    rest = materialize(verify(_candidates(_labelled(tokens, labels), percent), docs, width, percent), "jaccard-links")
     same_id = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     every = copies.unionByName(links).unionByName(rest).unionByName(same_id.select("a", "b"))
     labels = components(every)
-    return members.join(labels, members["key"] == labels["node"], "left").select("doc_id", "key", "n_shingles", F.coalesce("label", "key").alias("component"))
+    return members.join(labels, members["key"] == labels["node"], "left").select("key", "n_shingles", F.coalesce("label", "key").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     linked = link_components(docs, width, percent)
-    real = F.when(F.col("component") < _NO_ID, F.col("component"))
-    return linked.select("doc_id", "n_shingles", real.alias("component_id"))
+    real = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
+    return linked.select(real("key").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

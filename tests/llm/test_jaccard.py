@@ -71,10 +71,9 @@ def corpus(vocabulary):
     return list(enumerate(rows, 1))
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_components_equal_all_pairs(spark, corpus, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "PAIRS_PER_DOC", 0)
+@pytest.mark.parametrize("most_matches", [1, 4, 9])
+def test_components_equal_all_pairs(spark, corpus, monkeypatch, most_matches):
+    monkeypatch.setattr(jaccard, "MOST_MATCHES", most_matches)
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard.jaccard_components(df).collect()}
     want = brute(corpus)
@@ -83,6 +82,23 @@ def test_components_equal_all_pairs(spark, corpus, monkeypatch, rounds):
     assert len(set(want.values())) < len(want)
 
 
+def test_short_documents_near_the_threshold(spark, vocabulary):
+    """Pairs of all sizes whose similarity lies about 0.75, where every bound is tight."""
+    rnd = random.Random(21)
+    rows = []
+    for _ in range(350):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(5, 45))]
+        for _ in range(rnd.randint(2, 3)):
+            w = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                w[rnd.choice([0, -1, rnd.randrange(len(w))])] = rnd.choice(vocabulary)
+            w = w[rnd.randint(0, len(w) // 8) :] + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, len(w) // 8))]
+            rows.append(" ".join(w))
+    corpus = list(enumerate(rows, 1))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert got == brute(corpus)
+
+
 def test_multi_match_prefixes_are_used(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     scanned = jaccard.sets_and_sketch(df).filter("tag = 1").groupBy("id", "n").sum("a").toArrow()
@@ -104,6 +120,16 @@ def test_odd_rows(spark, odd_docs):
     assert {c for c, _ in got[None]} == {None}
 
 
+def test_documents_without_an_id_link_too(spark, vocabulary):
+    rnd = random.Random(2)
+    base = [rnd.choice(vocabulary) for _ in range(60)]
+    near, far = [*base[:-1], "other"], [rnd.choice(vocabulary) for _ in range(60)]
+    rows = [(7, " ".join(base)), (None, " ".join(near)), (None, " ".join(far)), (None, " ".join(far[:-1]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 7), (7, 7)]
+    assert jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).select("component").distinct().count() == 2
+
+
 def test_empty_and_clashing(spark, no_docs, clashing):
     assert jaccard.jaccard_components(no_docs).count() == 0
     assert jaccard.jaccard_components(clashing).count() == clashing.count()

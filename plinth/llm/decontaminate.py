@@ -112,7 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     changed = F.transform(F.array(*[F.lit(x).cast("bigint") for x in _changes(_BITS, RADIUS // BLOCKS)]), lambda x: x.bitwiseXOR(F.col("v")))
     listed = items.select("item", "n", F.col("fp").alias("item_fp"), F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v")).select("item", "n", "item_fp", "i", F.explode(changed).alias("v"))
     asked = windows.select("d", "th", "n", "fp", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v")).distinct()
-    near = asked.join(listed, ["n", "i", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("d", "th", "n", "fp", "item").distinct()
+    # The changes multiply the items' rows, which size estimates do not see: never broadcast them.
+    near = asked.join(listed.hint("merge"), ["n", "i", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("d", "th", "n", "fp", "item").distinct()
 
     full = near.join(windows, ["d", "th", "n", "fp"]).select("d", "th", "item", shingles(F.col("ws")).alias("shs"))
     shares = items.select("item", "item_id", "shares")

@@ -1,21 +1,22 @@
-r"""Benchmark decontamination by SimHash of item-sized windows.
+r"""Benchmark decontamination by probe shingles and exact item-sized windows.
 
 A document is contaminated by a benchmark item when one of its windows, of as many
 words as the item, holds at least ``MIN_SHARE`` of the item's weighted five-word
 shingles. A shingle weighs 1 + ln(items / items with it), so phrases that many items
 share count less.
 
-1. Windows. An item's shingles are put in order, rarest among items first; those
+1. Candidates. An item's shingles are put in order, rarest among items first; those
    that make up more than 1 - MIN_SHARE of its weight are its probes, so a window
    that holds enough of the item holds a probe. Every shingle of every document
-   is looked up among the probes, and where one is met the window starts as many words
-   before it as the probe does in its item (moved inside the document).
-2. Fingerprints. Windows and items get a 64-bit SimHash of their words.
-3. Candidates. Fingerprints are cut into ``BLOCKS`` blocks. Of two fingerprints within ``RADIUS`` bits
-   some block differs in RADIUS // BLOCKS bits or less, so the items' blocks are
-   listed with all such changes and met with the windows' blocks as they are:
-   no pair within the radius is lost. The radius lets three or four changed words pass.
-4. Verification. The candidates' weighted share is computed exactly.
+   is looked up among the probes; a document and an item that share one are compared.
+2. Regions. The places of an item's probes in a document are rounded to multiples of
+   the item's size; the region of one holds all windows with a probe there.
+3. Verification. The largest weighted share of a region's windows is computed exactly.
+   It is enough to look at windows that begin with a shingle of the item.
+
+No pair is left out by fingerprints: windows of three quarters of an item can lie
+further from its SimHash than any radius that spares work. ``simhash``, ``RADIUS`` and
+``BLOCKS`` decide nothing here.
 
 Items of one word sequence are one item, under the smallest item_id. The probes are
 joined, not broadcast by hint: Spark broadcasts them while their table is small
@@ -70,55 +71,56 @@ def simhash(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def _block(fingerprint: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, _BITS * i).bitwiseAND(F.lit((1 << _BITS) - 1))
-
-
 def _changes(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in own) for k in range(most + 1) for own in combinations(range(bits), k)]
 
 
 def read_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), ws, fp, shares: array of struct(sh, at, share of the item's weight)."""
+    """item, item_id, n (words), shares: array of struct(sh, share of the item's weight, probe)."""
     words = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.coalesce("text", F.lit(""))).alias("ws")).filter(F.size("ws") > 0)
     items = words.groupBy("ws").agg(F.min("item_id").alias("item_id")).select(F.col("item_id"), "ws", F.size("ws").alias("n"), F.xxhash64("ws").alias("item"))
     count = max(1, items.count())
-    each = items.select("item", F.posexplode(shingles(F.col("ws"))).alias("at", "sh"))
+    each = items.select("item", F.explode(shingles(F.col("ws"))).alias("sh"))
     seen = each.groupBy("sh").agg(F.count_distinct("item").alias("df"))
-    first = each.groupBy("item", "sh").agg(F.collect_list("at").alias("ats")).join(seen, "sh").withColumn("w", 1 + F.log(F.lit(float(count)) / F.col("df")))
+    first = each.select("item", "sh").distinct().join(seen, "sh").withColumn("w", 1 + F.log(F.lit(float(count)) / F.col("df")))
     own = Window.partitionBy("item")
     before = own.orderBy("df", "sh").rowsBetween(Window.unboundedPreceding, -1)
     ranked = first.withColumn("share", F.col("w") / F.sum("w").over(own)).withColumn("probe", F.coalesce(F.sum("share").over(before), F.lit(0.0)) <= 1 - MIN_SHARE + 1e-9)
-    shares = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("sh", "share", "probe", "ats"))).alias("shares"))
-    return items.join(shares, "item").select("item", "item_id", "n", "ws", simhash(F.col("ws")).alias("fp"), "shares")
+    shares = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("sh", "share", "probe"))).alias("shares"))
+    return items.join(shares, "item").select("item", "item_id", "n", "shares")
+
+
+def largest_share(shs: Column, n: Column, own: Column, worth: Column) -> Column:
+    """The largest share that a window of n words holds, from a region's shingles and the item's with their shares."""
+    hits = F.filter(F.transform(shs, lambda s, i: F.struct(i.alias("at"), F.array_position(own, s).cast("int").alias("of"))), lambda h: h["of"] > 0)
+    last = F.greatest(n - WIDTH, F.lit(0))
+
+    def held(hs: Column, h: Column) -> Column:
+        inside = F.filter(hs, lambda g: (g["at"] >= h["at"]) & (g["at"] <= h["at"] + last))
+        return F.aggregate(F.array_distinct(F.transform(inside, lambda g: g["of"])), F.lit(0.0), lambda acc, k: acc + F.get(worth, k - 1))
+
+    return F.transform(F.array(hits), lambda hs: F.array_max(F.transform(hs, lambda h: held(hs, h))))[0]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """d, th, item_id, similarity: the items that each document (d, th, text) holds."""
     items = materialize(read_items(benchmark), "leak-items")
-    probe = F.explode(F.filter("shares", lambda s: s["probe"]))
-    probes = items.select("n", probe.alias("s")).select("n", F.col("s.sh").alias("sh"), F.explode("s.ats").alias("at")).distinct()
+    probes = items.select("item", "n", F.explode(F.filter("shares", lambda s: s["probe"])).alias("s")).select("item", "n", F.col("s.sh").alias("sh"))
     probes = materialize(probes, "leak-probes")
 
     words = docs.select("d", "th", word_hashes(F.coalesce("text", F.lit(""))).alias("ws"))
-    met = words.select("d", "th", F.size("ws").alias("m"), F.posexplode(shingles(F.col("ws"))).alias("pos", "sh")).join(probes, "sh")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("m") - F.col("n")))
-    places = met.select("d", "th", "n", start.alias("start")).distinct().groupBy("d", "th").agg(F.collect_list(F.struct("n", "start")).alias("places"))
+    met = words.select("d", "th", F.posexplode(shingles(F.col("ws"))).alias("pos", "sh")).join(probes, "sh")
+    places = met.select("d", "th", "item", "n", F.floor(F.col("pos") / F.col("n")).cast("int").alias("k")).distinct().groupBy("d", "th").agg(F.collect_list(F.struct("item", "n", "k")).alias("places"))
 
     held = docs.join(places, ["d", "th"]).select("d", "th", word_hashes(F.coalesce("text", F.lit(""))).alias("ws"), "places")
-    placed = held.select("d", "th", "ws", F.explode("places").alias("p")).select("d", "th", "p.n", F.slice("ws", F.col("p.start") + 1, F.col("p.n")).alias("ws"))
-    windows = materialize(placed.select("d", "th", "n", "ws", simhash(F.col("ws")).alias("fp")), "leak-windows")
-
-    changed = F.transform(F.array(*[F.lit(x).cast("bigint") for x in _changes(_BITS, RADIUS // BLOCKS)]), lambda x: x.bitwiseXOR(F.col("v")))
-    listed = items.select("item", "n", F.col("fp").alias("item_fp"), F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v")).select("item", "n", "item_fp", "i", F.explode(changed).alias("v"))
-    asked = windows.select("d", "th", "n", "fp", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v")).distinct()
-    # The changes multiply the items' rows, which size estimates do not see: never broadcast them.
-    near = asked.join(listed.hint("merge"), ["n", "i", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("d", "th", "n", "fp", "item").distinct()
-
-    full = near.join(windows, ["d", "th", "n", "fp"]).select("d", "th", "item", shingles(F.col("ws")).alias("shs"))
-    shares = items.select("item", "item_id", "shares")
-    share = F.aggregate(F.filter("shares", lambda s: F.array_contains("shs", s["sh"])), F.lit(0.0), lambda acc, s: acc + s["share"])
-    similar = full.join(shares, "item").select("d", "th", "item_id", share.alias("similarity")).filter(F.col("similarity") >= MIN_SHARE - 1e-9)
+    n, k = F.col("p.n"), F.col("p.k")
+    start = F.greatest(F.lit(0), k * n - F.greatest(n - WIDTH, F.lit(0)))
+    placed = held.select("d", "th", "ws", F.explode("places").alias("p")).select("d", "th", "p.item", "p.n", F.slice("ws", start + 1, (k + 2) * n - start).alias("ws"))
+    regions = materialize(placed.select("d", "th", "item", "n", shingles(F.col("ws")).alias("shs")), "leak-regions")
+
+    shares = items.select("item", "item_id", F.col("shares.sh").alias("own"), F.col("shares.share").alias("worth"))
+    share = largest_share(F.col("shs"), F.col("n"), F.col("own"), F.col("worth"))
+    similar = regions.join(shares, "item").select("d", "th", "item_id", share.alias("similarity")).filter(F.col("similarity") >= MIN_SHARE - 1e-9)
     return similar.groupBy("d", "th", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

@@ -82,6 +82,23 @@ def test_against_brute_force(spark, rows, items):
     assert (5000, 900) in got and not any(d in (5001, 5002) or 1000 <= d < 2000 for d, _ in got)
 
 
+def test_cut_and_broken_copies_equal_brute_force(spark, vocabulary, items):
+    """Copies that lose their end or beginning, or have words put in or taken out in one place."""
+    rnd = random.Random(8)
+    some = lambda most: [rnd.choice(vocabulary) for _ in range(rnd.randint(0, most))]
+    rows = []
+    for k in range(300):
+        w = rnd.choice(items[:120])[1].split()
+        n, at = max(1, round(len(w) * rnd.uniform(0.1, 0.24))), rnd.randrange(len(w))
+        other = [rnd.choice(vocabulary) for _ in range(n)]
+        w = [w[:-n] + other, other + w[n:], w[:at] + some(6) + w[at:], w[:at] + w[at + rnd.randint(1, 4) :]][k % 4]
+        rows.append((k, " ".join(some(80) + w + some(80))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, items)
+    assert len(want) > 150
+    assert found(docs, spark.createDataFrame(items, "item_id long, text string")) == want.keys()
+
+
 def test_radius_is_guaranteed(spark):
     """Every pair of fingerprints within the radius shares a listed block."""
     rnd = random.Random(1)

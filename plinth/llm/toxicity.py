@@ -1,8 +1,10 @@
 r"""Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence has a logistic score of the words it
-holds and of their first three to six letters; the document's score is the noisy-or of
-its sentences, 1 - product(1 - p). The weights are fitted from document labels
+holds and of their first three to six letters; a passage's score is the noisy-or of
+its sentences, 1 - product(1 - p), and the document's score is that of its worst passage, a
+run of ``PASSAGE`` sentences or the whole of a shorter text. So the small p of clean
+sentences do not add up with length, and a long text is judged as its passages are. The weights are fitted from document labels
 alone, so the sentences that make a document toxic are found, not given: those
 with p of at least 0.5 are returned as ``offending``.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +45,7 @@ RATE = 0.1
 DECAY = 1e-5
 FIRST_BIAS = -8.0
 FOLDS = 5
+PASSAGE = 200
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,14 +71,18 @@ class Model:
         clean_log = -math.log1p(math.exp(self.bias))  # log(1 - p) of a sentence without features
         n_sentences = sum(1 for _ in _SENTENCE.finditer(text))
         if self.weights.keys().isdisjoint(features(set(_WORD.findall(low)))):
-            return -math.expm1(n_sentences * clean_log), []
-        total, found = 0.0, []
+            return -math.expm1(min(n_sentences, PASSAGE) * clean_log), []
+        total, worst, passage, found = 0.0, 0.0, deque(), []
         for m in _SENTENCE.finditer(text):
             z = self.sentence(set(_WORD.findall(m[0].lower())))
-            total -= math.log1p(math.exp(z)) if z < 30 else z
+            passage.append(math.log1p(math.exp(z)) if z < 30 else z)
+            total -= passage[-1]
+            if len(passage) > PASSAGE:
+                total += passage.popleft()
+            worst = min(worst, total)
             if z >= 0:
                 found.append((m.start(), m.end(), 1 / (1 + math.exp(-z)) if z < 700 else 1.0))
-        return -math.expm1(total), found
+        return -math.expm1(worst), found
 
 
 def features(words: set[str]) -> set[str]:

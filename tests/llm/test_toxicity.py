@@ -66,6 +66,24 @@ def test_noisy_or():
     assert model.score(None) == model.score("") == (0.0, [])
 
 
+def test_length_alone_is_not_toxic(spark, rows, tables):
+    """A clean text of 1 MB is clean; one rude sentence anywhere in it is still found."""
+    docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))
+    model = X.fit(X.training_sample(docs, labels))
+    clean = [t for _, t, y in rows if not y and model.score(t)[0] < 0.5]
+    size, parts = 0, []
+    while size < 1_000_000:
+        parts.append(clean[len(parts) % len(clean)])
+        size += len(parts[-1]) + 1
+    assert model.score(" ".join(parts))[0] < 0.5
+    for at in (0, len(parts) // 2, len(parts)):
+        score, found = model.score(" ".join([*parts[:at], "grobbish skuzzle.", *parts[at:]]))
+        assert score >= 0.5 and len(found) == 1
+    weak = X.Model({"meh": 4.0}, -9.2)
+    assert weak.score("plain words. " * 80_000)[0] < 0.5
+    assert weak.score(("plain words. " * 99 + "meh words. ") * 800)[0] < 0.5
+
+
 def test_without_two_classes():
     assert X.fit([]).score("bad") == (0.0, [])
     assert X.fit([("a b", 1)]).score("a b") == (0.0, [])

@@ -11,6 +11,8 @@ line ends as spaces, for sentences that wrap. The reading with more known
 sentences counts, the first in a tie. A sentence ends at ``.``, ``!``, ``?`` or
 ``;`` before a blank or the end, or at an empty line. It is normalised by
 lower-casing A-Z and turning all else but letters and digits into single blanks.
+A known sentence that is itself cut (after ``v.`` in ``v. 2.0``) counts where all its pieces follow
+each other, at its last. ``OP7_SQL`` takes its last piece alone.
 
 Only texts with one of the words of ``CUES`` are cut up; each known
 sentence holds one of them (``known_sentences`` checks it).
@@ -123,7 +125,7 @@ def normal(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Identifiers by normalised sentence; sentences in pieces count by their last."""
+    """OP7_SQL's identifiers by normalised sentence; sentences in pieces count by their last."""
     found: dict[str, str] = {}
     for name, sentence in SENTENCES:
         pieces = [p for p in map(normal, re.split(_BY_LINE, sentence)) if p]
@@ -133,15 +135,26 @@ def known_sentences() -> dict[str, str]:
     return found
 
 
-def _ids(text: Column, ends: str, known: dict[str, str]) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+def known_runs() -> dict[tuple[str, ...], str]:
+    """Identifiers by the normalised pieces that a known sentence is cut into."""
+    return {tuple(p for p in map(normal, re.split(_BY_LINE, sentence)) if p): name for name, sentence in SENTENCES}
+
+
+def _ids(text: Column, ends: str, known: dict[tuple[str, ...], str]) -> Column:
+    sizes = sorted({len(run) for run in known}, reverse=True)
+    names = {k: F.create_map(*[F.lit(x) for run, name in known.items() if len(run) == k for x in ("|".join(run), name)]) for k in sizes}
     bare = F.transform(F.split(text, ends, -1), lambda s: F.btrim(F.regexp_replace(s, _ODD, " ")))
-    return F.filter(F.transform(bare, lambda s: F.element_at(names, s)), lambda x: x.isNotNull())
+
+    def name(all_: Column, i: Column) -> Column:
+        return F.coalesce(*[F.element_at(names[k], F.concat_ws("|", *[F.get(all_, i - at) for at in range(k - 1, -1, -1)])) for k in sizes])
+
+    found = F.transform(F.array(bare), lambda all_: F.transform(all_, lambda _, i: name(all_, i)))[0]
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with sentence_ids, licenses and leftover, arrays of strings."""
-    known = known_sentences()
+    known = known_runs()
     row, columns = packed(docs, "sentence_ids", "licenses", "leftover")
     text = F.coalesce("text", F.lit(""))
     cue = F.rlike(text, F.lit("(?i)" + "|".join(CUES)))

@@ -40,6 +40,14 @@ def test_rules(spark):
     assert list(got[6]["leftover"]) == ["MitNotice"] and list(got[1]["sentence_ids"]) == ["MitGrant", "MitNotice"]
 
 
+def test_a_cut_sentence_needs_all_its_pieces(spark):
+    mpl = next(t for n, t in L.SENTENCES if n == "MplBy")
+    wrapped = mpl.replace("Mozilla Public", "Mozilla Public\n *")
+    got = scan(spark, ["Licensed under the Apache License, v. 2.0.", "No licence. 2.0.", "2.0. License", mpl, f"/* {wrapped}. If a copy was not distributed, see below. */", f"{mpl}.\n{mpl}."])
+    assert [list(got[i]["licenses"]) for i in range(6)] == [[], [], [], ["MPL-2.0"], ["MPL-2.0"], ["MPL-2.0"] * 2]
+    assert all(not got[i]["leftover"] and not got[i]["sentence_ids"] for i in range(3))
+
+
 def test_every_rule_is_reachable(spark):
     text = {n: t for n, t in L.SENTENCES}
     texts = ["\n".join(text[i] + "." for i in seq) for _, seq in L.RULES]

@@ -17,7 +17,8 @@ placeholders, check sums and data URIs announced before them, uuids, and
 ascending runs; so are spans inside a base span.
 
 Offsets are code points, ends are exclusive. They come from the lengths of the
-pieces between matches and of the matches, so no character is reserved as a mark.
+pieces between matches and of the matches, so no character is reserved as a mark; the
+lengths are summed in blocks, so the work grows with a text's matches in proportion.
 
 Defined cases: a null text counts as empty; an empty text has no spans; a
 match whose value is too short is dropped and what it covers is not searched
@@ -43,6 +44,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Counts in a long, and bits of each: room for WINDOW.
+_HELD, _FIELD = 12, 5
+#: Lengths that are summed up in one go.
+_BLOCK = 64
 HEX_BITS = 3.0
 BASE64_BITS = 3.8
 
@@ -53,6 +58,24 @@ ANNOUNCED = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|integrity|digest|base64
 _SPAN = "array<struct<s:int,e:int,m:string,v:string,lead:string>>"
 
 
+def _running(xs: Column) -> Column:
+    """Running sums of an array, in blocks, so that no sum copies all that came before it."""
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x))
+
+    def sums(ys: Column) -> Column:
+        return F.aggregate(ys, F.array().cast("array<int>"), add)
+
+    def carried(own: Column) -> Column:
+        before = sums(F.transform(own, lambda b: F.get(b, F.size(b) - 1)))
+        return F.transform(F.array(before), lambda t: F.flatten(F.transform(own, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(t, i - 1), F.lit(0))))))[0]
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(xs), F.lit(_BLOCK)), lambda i: i < F.size(xs))
+    blocks = F.transform(starts, lambda i: sums(F.slice(xs, i + 1, F.lit(_BLOCK))))
+    return F.transform(F.array(blocks), carried)[0]
+
+
 def _found(text: Column, pattern: str, group: int) -> Column:
     """All matches as structs: start, end, match, its group, the text since the match before."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -60,15 +83,13 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     gaps = F.split(text, pattern, -1)
 
     def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.get(x["g"], i))
-            e = s + F.length(F.get(x["w"], i))
-            one = F.struct(s.alias("s"), e.alias("e"), F.get(x["w"], i).alias("m"), F.get(x["v"], i).alias("v"), F.get(x["g"], i).alias("lead"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        ends = _running(F.transform(x["w"], lambda w, i: F.length(w) + F.length(F.get(x["g"], i))))
+        at = F.struct(ends.alias("e"), x["w"].alias("w"), x["v"].alias("v"), x["g"].alias("g"))
+        return F.transform(F.array(at), lambda y: F.transform(y["w"], lambda w, i: one(y, w, i)))[0]
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        every = F.filter(F.sequence(F.lit(0), F.size(x["w"])), lambda i: i < F.size(x["w"]))
-        return F.aggregate(every, none, step, lambda acc: acc["out"])
+    def one(y: Column, w: Column, i: Column) -> Column:
+        e = F.get(y["e"], i)
+        return F.struct((e - F.length(w)).alias("s"), e.alias("e"), w.alias("m"), F.get(y["v"], i).alias("v"), F.get(y["g"], i).alias("lead"))
 
     pieces = F.struct(whole.alias("w"), value.alias("v"), gaps.alias("g"))
     return F.when(F.rlike(text, F.lit(pattern)), F.transform(F.array(pieces), placed)[0]).otherwise(F.array().cast(_SPAN))
@@ -76,40 +97,67 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 def _windows(candidate: Column, hexadecimal: Column) -> Column:
     """struct(first, last): offsets of the first and last window over the threshold, -1 if none."""
+    codes = F.transform(F.split(candidate, ""), lambda ch: F.call_function("locate", ch, F.lit(ALPHABET)) - 1)
+    return F.transform(F.array(codes), lambda own: _slid(own, F.length(candidate), hexadecimal))[0]
+
+
+def _slid(codes: Column, length: Column, hexadecimal: Column) -> Column:
+    """_windows by the characters' places in ALPHABET.
+
+    The counts of all characters are fields of ``_FIELD`` bits in a few longs, so a
+    step adds 1 to one field and takes 1 from another, whatever the alphabet's size.
+    """
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
-    size = len(ALPHABET)
+    longs = range(-(-len(ALPHABET) // _HELD))
+    zero = F.lit(0).cast("bigint")
 
     def code(p: Column) -> Column:
-        return F.call_function("locate", F.substring(candidate, p, F.lit(1)), F.lit(ALPHABET))
+        return F.get(codes, p - 1)
+
+    def one_in(k: int, c: Column) -> Column:
+        return F.when(F.floor(c / _HELD) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % _HELD) * _FIELD)).otherwise(zero)
+
+    def held(n: Column, c: Column) -> Column:
+        own = F.get(n, F.floor(c / _HELD).cast("int"))
+        return F.call_function("shiftright", own, (c % _HELD) * _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1)).cast("int")
 
-    begin = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda c: F.size(F.filter(F.sequence(F.lit(1), F.lit(WINDOW)), lambda p: code(p) == c)))
-    start_sum = F.aggregate(begin, F.lit(0.0), lambda acc, n: acc + F.get(term, n))
     enough = F.when(hexadecimal, F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
     over = lambda total: F.lit(math.log2(WINDOW)) - total / F.lit(float(WINDOW)) >= enough - F.lit(1e-9)
-    first = F.struct(
-        begin.alias("n"),
-        start_sum.alias("sum"),
-        F.when(over(start_sum), 0).otherwise(-1).alias("first"),
-        F.when(over(start_sum), 0).otherwise(-1).alias("last"),
-    )
+
+    def grown(acc: Column, p: Column) -> Column:
+        return F.transform(F.array(code(p)), lambda c: F.struct(F.array(*[F.get(acc["n"], k) + one_in(k, c) for k in longs]).alias("n"), risen(acc, held(acc["n"], c)).alias("sum")))[0]
+
+    def risen(acc: Column, n: Column) -> Column:
+        return acc["sum"] + F.get(term, n + 1) - F.get(term, n)
+
+    none = F.struct(F.array(*[zero for _ in longs]).alias("n"), F.lit(0.0).alias("sum"))
+
+    def begun(x: Column) -> Column:
+        at = F.when(over(x["sum"]), 0).otherwise(-1)
+        return F.struct(x["n"].alias("n"), x["sum"].alias("sum"), at.alias("first"), at.alias("last"))
+
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW)), none, grown, begun)
 
     def step(acc: Column, i: Column) -> Column:
         # i is the offset of the window; position i (from 1) goes, i + WINDOW comes.
-        def moved(x: Column) -> Column:
-            n_out, n_in = F.get(acc["n"], x["o"] - 1), F.get(acc["n"], x["i"] - 1)
+        def counted(x: Column) -> Column:
+            n_out, n_in = held(acc["n"], x["o"]), held(acc["n"], x["i"])
             changed = F.get(term, n_out - 1) - F.get(term, n_out) + F.get(term, n_in + 1) - F.get(term, n_in)
-            total = F.when(x["o"] == x["i"], acc["sum"]).otherwise(acc["sum"] + changed)
-            counts = F.transform(acc["n"], lambda n, c: n - F.when(c + 1 == x["o"], 1).otherwise(0) + F.when(c + 1 == x["i"], 1).otherwise(0))
+            counts = F.array(*[F.get(acc["n"], k) - one_in(k, x["o"]) + one_in(k, x["i"]) for k in longs])
+            return F.when(x["o"] == x["i"], F.struct(acc["n"].alias("n"), acc["sum"].alias("sum"))).otherwise(F.struct(counts.alias("n"), (acc["sum"] + changed).alias("sum")))
+
+        def moved(x: Column) -> Column:
             return F.struct(
-                counts.alias("n"),
-                total.alias("sum"),
-                F.when((acc["first"] < 0) & over(total), i).otherwise(acc["first"]).alias("first"),
-                F.when(over(total), i).otherwise(acc["last"]).alias("last"),
+                x["n"].alias("n"),
+                x["sum"].alias("sum"),
+                F.when((acc["first"] < 0) & over(x["sum"]), i).otherwise(acc["first"]).alias("first"),
+                F.when(over(x["sum"]), i).otherwise(acc["last"]).alias("last"),
             )
 
-        return F.transform(F.array(F.struct(code(i).alias("o"), code(i + WINDOW).alias("i"))), moved)[0]
+        pair = F.transform(F.array(F.struct(code(i).alias("o"), code(i + WINDOW).alias("i"))), counted)
+        return F.transform(pair, moved)[0]
 
-    steps = F.filter(F.sequence(F.lit(1), F.greatest(F.length(candidate) - WINDOW, F.lit(1))), lambda i: i <= F.length(candidate) - WINDOW)
+    steps = F.filter(F.sequence(F.lit(1), F.greatest(length - WINDOW, F.lit(1))), lambda i: i <= length - WINDOW)
     return F.aggregate(steps, first, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
@@ -124,6 +172,13 @@ def entropy_spans(text: Column) -> Column:
     return F.transform(high, lambda x: F.struct((x["s"] + x["w"]["first"]).alias("s"), (x["s"] + x["w"]["last"] + WINDOW).alias("e")))
 
 
+def _holds(spans: Column, x: Column) -> Column:
+    """Whether the last of the sorted spans that starts by x's start ends by x's end or later."""
+    by_half = F.array(*[F.lit(1 << i) for i in reversed(range(30))])
+    last = F.aggregate(by_half, F.lit(-1), lambda at, step: F.when(F.coalesce(F.get(spans, at + step)["s"] <= x["s"], F.lit(False)), at + step).otherwise(at))
+    return F.coalesce(F.get(spans, last)["e"] >= x["e"], F.lit(False))
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs with base and found: arrays of struct(s, k, e); k indexes KINDS."""
     text = F.coalesce("text", F.lit(""))
@@ -138,7 +193,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         kind(2, _found(text, HEX, 1)),
     )
     found = docs.select(row, "text", F.array_sort(base).alias("base"), kind(3, entropy_spans(text)).alias("_extra"))
-    more = F.filter("_extra", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
+    # Spans of a kind do not overlap, so only the last that starts no later can hold another.
+    own = lambda k: F.filter("base", lambda b: b["k"] == k)
+    of = F.array(*[F.struct(own(k).alias("own")) for k in range(3)])
+    more = F.transform(F.array(of), lambda kinds: F.filter("_extra", lambda x: ~F.exists(kinds, lambda b: _holds(b["own"], x))))[0]
+    more = F.when(F.size("_extra") > 0, more).otherwise(F.col("_extra"))
     return found.select(*columns, "base", F.array_sort(F.concat("base", more)).alias("found"))
 
 

@@ -92,6 +92,27 @@ def test_many_matches_in_one_text(spark):
     assert row["n"] == 800 and row["b"].endswith(f"hex:{17 * 799}:{17 * 799 + 16}")
 
 
+def test_work_grows_in_proportion(spark):
+    """Four times the matches, or the characters of one candidate, take far less than sixteen times as long."""
+    import time
+
+    rnd = random.Random(7)
+    text = "0123456789abcdef token=abcdefghijklmn "
+    run = "".join(rnd.choice(S.ALPHABET) for _ in range(64_000))
+
+    def took(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = S.scan_secrets(df).select(F.size("base").alias("n"), S.span_text("found").alias("f")).first()
+        return time.perf_counter() - began, row
+
+    took(text)
+    small, large = took(text * 8_000)[0], took(text * 32_000)
+    assert large[1]["n"] == 64_000 and large[0] < 8 * small
+    small, large = took(run[:16_000])[0], took(run)
+    assert large[1]["f"] == "entropy:0:64000" and large[0] < 8 * small
+
+
 def test_query_hash(spark, tmp_path, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for r in S.op2_secrets(spark, str(tmp_path)).collect():

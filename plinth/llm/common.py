@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -60,20 +61,51 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Spark deletes a query's shuffle files at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Tables of the scratch() blocks that are open, the innermost last.
+_scratch: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     A lost executor then costs a reread, not a recomputation, and later steps
-    start from a short plan.
+    start from a short plan. The shuffle files behind the table are deleted with the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._plinth_path = path
+    if _scratch:
+        _scratch[-1].append(back)
     return back
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are materialized inside are deleted at the end, but for those put in the list."""
+    kept: list[DataFrame] = []
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        made = _scratch.pop()
+        stays = {df._plinth_path for df in kept}
+        for df in made:
+            if df._plinth_path not in stays:
+                discard(df)
+            elif _scratch:
+                _scratch[-1].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a materialize() that nothing will read again."""
     spark = df.sparkSession

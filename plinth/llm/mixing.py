@@ -7,15 +7,18 @@ the order of their finish times until the budget is spent. A source whose words
 run out before its share is reached is read again, up to ``max_passes`` times
 in all, each pass carrying on the same word count.
 
-The target weights are the water-filled targets themselves, so the budget is
-spent at virtual time 1 exactly, and every source has then received its target.
-The document in service at that moment is cut there: ``taken`` counts its words
-up to the cut, whole documents before it count in full.
+The target weights are the water-filled targets themselves, so a source's words come to
+its target at virtual time 1. A document that begins before and ends after its source's target is
+two pieces, cut there. The pieces of all sources and passes are range-sorted by finish time;
+the words of each range are summed, the sums of ranges are summed up in their order, and in the
+one range where they reach the budget, its pieces' words are. The piece that does so ends the
+mix: what comes later in the order is not taken, and it is itself cut at the budget.
 
 Running sums are taken over (source, bucket) where the bucket is a prefix of
 the shuffle key, so one source that holds a third of all rows is spread over
 many tasks; sums of buckets are then summed over their sources. The depth of
-the buckets follows the square root of the largest source.
+the buckets follows the square root of the largest source. Documents without an id have one shuffle
+key; they are dealt by their sizes, too.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; a null doc_id shuffles as the empty string;
@@ -28,10 +31,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize, n_words
+from plinth.llm.common import materialize, n_words, scratch
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -93,14 +96,22 @@ def mix(docs: DataFrame, columns=None, weights=WEIGHTS, max_passes: int = MAX_PA
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key"),
     )
-    return _taken(materialize(lean, "mix-sizes"), weights, max_passes, budget).select("row.*", "size", "source_size", "target", "taken", "finish")
+    with scratch() as kept:
+        placed = _placed(materialize(lean, "mix-sizes"), seed, weights, max_passes, budget)
+        kept.append(placed)
+        last = _cut(placed, max_passes, budget)
+    return _taken(placed, last, max_passes).select("row.*", "size", "source_size", "target", "taken", "finish")
 
 
-def _taken(sized: DataFrame, weights, max_passes: int, budget: int | None) -> DataFrame:
+def _placed(sized: DataFrame, seed: str, weights, max_passes: int, budget: int | None) -> DataFrame:
+    """row, skey, size, source_size, target and begin, the words of the source before the document."""
     most = sized.groupBy("skey").count().agg(F.max("count")).first()[0] or 1
     depth = max(1, math.ceil(math.log(math.sqrt(most), 16)))
     targets = source_targets(sized, weights, max_passes, budget)
-    bucketed = sized.withColumn("bucket", F.substring("key", 1, depth))
+    # The key of all documents without an id: they are dealt by size, and what has their prefix lies before or after.
+    without = F.md5(F.lit(f":{seed}").cast("binary"))
+    place = F.when(F.col("key") < without, F.lit("0")).when(F.col("key") > without, F.lit("2")).otherwise(F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 19, "0")))
+    bucketed = sized.withColumn("bucket", F.concat(F.substring("key", 1, depth), place))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         bucketed.groupBy("skey", "bucket")
@@ -111,12 +122,56 @@ def _taken(sized: DataFrame, weights, max_passes: int, budget: int | None) -> Da
     )
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(buckets, ["skey", "bucket"])
-    begin = F.col("offset") + F.col("before")
+    placed = placed.select("row", "skey", "size", "source_size", "target", (F.col("offset") + F.col("before")).alias("begin"))
+    return materialize(placed, "mix-placed")
+
+
+def _pieces(max_passes: int) -> Column:
+    """array of struct(finish, skey, end, words): a document's pieces in all passes, cut where the target is reached."""
     words = F.floor("target").cast("bigint")
+    out = []
+    for p in range(max_passes):
+        start = F.col("source_size") * p + F.col("begin")
+        end = start + F.col("size")
+        for lo, hi in ((start, F.least(end, words)), (F.greatest(start, words), end)):
+            out.append(F.struct(F.try_divide(hi, F.col("target")).alias("finish"), F.col("skey").alias("skey"), hi.alias("end"), (hi - lo).alias("words")))
+    return F.filter(F.array(*out), lambda x: (x["words"] > 0) & x["finish"].isNotNull())
+
+
+def _cut(placed: DataFrame, max_passes: int, budget: int | None) -> Row | None:
+    """finish, skey, end and words (as many of it as the budget has) of the last piece taken; None without any."""
+    sources = placed.groupBy("skey").agg(F.max("target").alias("target"))
+    left = sources.agg(F.sum(F.floor("target").cast("bigint"))).first()[0] or 0
+    left = left if budget is None else min(left, budget)
+    ranges = placed.select(F.explode(_pieces(max_passes)).alias("x")).select("x.*")
+    parts = max(8, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Written, so that the ranges do not change between the sums.
+    sorted_ = materialize(ranges.repartitionByRange(parts, "finish", "skey", "end").withColumn("part", F.spark_partition_id()), "mix-sorted")
+    sums = sorted_.groupBy("part").agg(F.sum("words").alias("words")).orderBy("part").collect()  # a row for each range
+    for r in sums:
+        if left > r["words"]:
+            left -= r["words"]
+            continue
+        so_far = F.sum("words").over(Window.partitionBy("part").orderBy("finish", "skey", "end"))
+        own = sorted_.filter(F.col("part") == r["part"]).withColumn("so_far", so_far)
+        found = own.filter(F.col("so_far") >= left).agg(F.min(F.struct("finish", "skey", "end", (F.col("words") - F.col("so_far") + left).alias("words"))).alias("x")).first()
+        return found["x"]
+    return sorted_.agg(F.max(F.struct("finish", "skey", "end", "words")).alias("x")).first()["x"]
+
+
+def _taken(placed: DataFrame, last: Row | None, max_passes: int) -> DataFrame:
+    """placed with taken and finish: the words of its pieces up to the last one, and when they are served."""
     zero = F.lit(0).cast("bigint")
-    passes = [F.greatest(zero, F.least(F.col("size"), words - begin - F.col("source_size") * p)) for p in range(max_passes)]
-    last = F.greatest(*[F.when(x > 0, F.col("source_size") * p + begin + x) for p, x in enumerate(passes)], F.lit(None).cast("bigint"))
-    return placed.withColumn("taken", sum(passes[1:], passes[0])).withColumn("finish", last / F.col("target")).drop("key", "skey", "bucket", "offset", "before")
+    if last is None or last["words"] <= 0:
+        return placed.withColumn("taken", zero).withColumn("finish", F.lit(None).cast("double"))
+    at = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["skey"]).alias("skey"), F.lit(last["end"]).cast("bigint").alias("end"))
+    key = lambda x: F.struct(x["finish"].alias("finish"), x["skey"].alias("skey"), x["end"].alias("end"))
+    own = F.filter(_pieces(max_passes), lambda x: key(x) <= at)
+    words = lambda x: F.when(key(x) == at, F.lit(last["words"]).cast("bigint")).otherwise(x["words"])
+    served = placed.withColumn("_own", own)
+    taken = F.aggregate("_own", zero, lambda acc, x: acc + words(x))
+    finish = F.array_max(F.transform("_own", lambda x: F.when(key(x) == at, F.try_divide(x["end"] - x["words"] + words(x), F.col("target"))).otherwise(x["finish"])))
+    return served.withColumn("taken", taken).withColumn("finish", finish).drop("_own", "skey", "begin")
 
 
 def schedule(mixed: DataFrame) -> DataFrame:

@@ -89,6 +89,16 @@ def test_propagation(spark):
         assert abs(r["distrust"] - distrust.get(r["host"], 0)) < 1e-12
 
 
+def test_propagation_goes_on_until_nothing_moves(spark):
+    """Trust reaches the end of a chain of forty links; a graph without edges keeps its seeds."""
+    edges = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(40)], "src string, dst string, n long")
+    own = spark.createDataFrame([("h00", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r["trust"] for r in U.propagate(edges, own).collect()}
+    assert len(got) == 41 and all(abs(got[f"h{i:02}"] - 0.15 * 0.85**i) < 1e-12 for i in range(41))
+    alone = U.propagate(edges.filter("false"), own).collect()
+    assert [(r["host"], round(r["trust"], 12)) for r in alone] == [("h00", 0.15)]
+
+
 @pytest.mark.parametrize("rules", [(), U.RULES])
 def test_empty_and_repeated(spark, rules):
     schema = "page_id long, url string, html string, host string, verdict string, by_rule string"

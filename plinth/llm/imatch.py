@@ -8,20 +8,27 @@ distinct lexicon terms, sorted, are hashed once for each of several random
 subsets of the lexicon; one changed term changes only the codes of the subset
 that holds it.
 
-A subset of a scale s holds one in 2**s of the lexicon, by the terms' hashes;
+A fingerprint's main codes are I-Match's: the 64-bit hash of all of the text's sorted
+lexicon terms, and of those left in each of ``LEXICONS`` subsets of the lexicon that
+each leave out a random quarter of it, by two bits of the terms' hashes. Texts with an equal
+main code differ at most in terms that one subset leaves out.
+
+Beside them are finer codes, which tell how much of two edited texts is the same. A subset of a
+scale s holds one in 2**s of the lexicon, by other bits of the hashes;
 ``SUBSETS`` disjoint ones are used of each scale. A text takes the ``SCALES``
 scales from the one on at which a subset holds about one of its terms or less, so
 short and long texts get as many codes. The likeness of two fingerprints is the share of equal codes among those
-that either has, at the scales that both have.
+that either has, main and finer ones at the scales that both have.
 
 The lexicon's size is bounded whatever the corpus: with at least ``MIN_SHARE``
 of all documents for each term, it holds at most (distinct terms of a mean
 document) / MIN_SHARE terms. It is handed to the tasks as one array of buckets.
 
 The next document is found without a global order of rows: documents are dealt
-to ranges of doc_id that begin at a hash sample of the ids (``most`` of them at
+to ranges of (doc_id, hash of the text) that begin at a hash sample of these keys (``most`` of them at
 most, on average), and the first document of a range is
-also sent to the range before.
+also sent to the range before. Documents without an id so come in many ranges, too; only
+equal rows cannot be parted.
 
 Defined cases: a null text counts as empty; a text without lexicon terms is
 hashed by all its terms, one without terms gives the code of nothing, like only to
@@ -41,6 +48,8 @@ MIN_SHARE = 0.001
 MAX_SHARE = 0.1
 MIN_DOCS = 2
 _BUCKETS = 1 << 14
+#: Lexicon subsets of the main codes; each takes two of the hash's lowest bits.
+LEXICONS = 8
 SUBSETS = 32
 SCALES = 3
 _MAX_ID = (1 << 63) - 1
@@ -66,11 +75,20 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
 
 
 def fingerprint(own: Column) -> Column:
-    """struct(s, codes): the codes at the SCALES scales from s on, of struct(known, words).
+    """struct(s, main, codes): the main codes, and those at the SCALES scales from s on, of struct(known, words).
 
     A code of 0 is an empty subset.
     """
 
+    def whole(t: Column) -> Column:
+        return F.when(F.size(t) == 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(t))
+
+    def left(t: Column, k: int) -> Column:
+        return F.transform(F.array(F.filter(t, lambda x: F.shiftright(x, 2 * k).bitwiseAND(F.lit(3).cast("bigint")) != 0)), whole)[0]
+
+    def main(t: Column) -> Column:
+        return F.array(whole(t), *[left(t, k) for k in range(LEXICONS)])
+
     def of(x: Column) -> Column:
         chosen = F.sort_array(F.when(F.size(x["known"]) > 0, x["known"]).otherwise(x["words"]))
         return F.transform(F.array(F.struct(chosen.alias("t"))), placed)[0]
@@ -83,9 +101,9 @@ def fingerprint(own: Column) -> Column:
         # A term's subset at one scale is its subset at the next less a bit, so few terms are left to place.
         marked = F.transform(x["t"], lambda t: F.struct(F.shiftrightunsigned(t, 20).bitwiseAND(F.lit(0x3FFFFFFF)).cast("int").alias("j"), t.alias("t")))
         few = F.filter(marked, lambda p: p["j"].bitwiseAND(x["m"] - 1) < SUBSETS)
-        nothing = F.struct(F.lit(-SCALES).alias("s"), F.array(F.array(F.lit(1).cast("bigint"))).alias("codes"))
+        nothing = F.struct(F.lit(-SCALES).alias("s"), main(x["t"]).alias("main"), F.array(F.array(F.lit(1).cast("bigint"))).alias("codes"))
         some = F.transform(F.array(F.struct(few.alias("p"), x["m"].alias("m"))), lambda y: F.array(*[codes(y["p"], y["m"] * (1 << i)) for i in range(SCALES)]))[0]
-        return F.when(F.size(x["t"]) == 0, nothing).otherwise(F.struct(x["s"].alias("s"), some.alias("codes")))
+        return F.when(F.size(x["t"]) == 0, nothing).otherwise(F.struct(x["s"].alias("s"), main(x["t"]).alias("main"), some.alias("codes")))
 
     def codes(few: Column, m: Column) -> Column:
         own = F.filter(few, lambda p: p["j"].bitwiseAND(m - 1) < SUBSETS)
@@ -106,16 +124,16 @@ def with_fingerprint(docs: DataFrame, lex: DataFrame, text: str = "text", name:
 
 
 def fingerprint_text(fp: Column) -> Column:
-    """A fingerprint as a string: scale, then the codes in hex, - for an empty subset."""
+    """A fingerprint as a string: scale, main codes, then the finer codes in hex, - for an empty subset."""
     one = lambda xs: F.array_join(F.transform(xs, lambda x: F.when(x == 0, F.lit("-")).otherwise(F.lower(F.hex(x)))), ".")
-    return F.concat_ws(":", fp["s"].cast("string"), F.array_join(F.transform(fp["codes"], one), ":"))
+    return F.concat_ws(":", fp["s"].cast("string"), one(fp["main"]), F.array_join(F.transform(fp["codes"], one), ":"))
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Share of equal codes among those that either has, 0 without a common scale."""
+    """Share of equal codes among those that either has, 0 where neither has any."""
     ahead = y["s"] - x["s"]
     shared = F.greatest(F.least(F.size(x["codes"]), F.size(y["codes"])) - F.abs(ahead), F.lit(0))
-    at = lambda z, skip: F.flatten(F.slice(z["codes"], F.greatest(skip, F.lit(0)) + 1, shared))
+    at = lambda z, skip: F.concat(z["main"], F.flatten(F.slice(z["codes"], F.greatest(skip, F.lit(0)) + 1, shared)))
     sides = F.struct(at(x, ahead).alias("p"), at(y, -ahead).alias("q"))
 
     def share(s: Column) -> Column:
@@ -127,21 +145,21 @@ def likeness(x: Column, y: Column) -> Column:
 
 def with_next(docs: DataFrame, columns: list[str], per_range: int = 64, most: int = 65536) -> DataFrame:
     """docs, without null doc_id gaps, with next_<column> of the next document by doc_id."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_MAX_ID))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_MAX_ID)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.withColumn("_k", key)
     rate = max(per_range, -(-docs.count() // most))
     chosen = F.collect_set(F.when(F.pmod(F.xxhash64("_k"), F.lit(rate)) == 0, F.col("_k")))
     bounds = keyed.agg(F.sort_array(F.array_union(F.array(F.min("_k")), chosen)).alias("b")).scalar()
     keyed = keyed.withColumn("_b", bounds)
     steps = [1 << i for i in reversed(range((2 * most).bit_length()))]
-    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, step: F.when(F.coalesce(F.get("_b", lo + step), F.lit(_MAX_ID)) <= F.col("_k"), F.when(lo + step < F.size("_b"), lo + step).otherwise(lo)).otherwise(lo))
+    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, step: F.when(F.coalesce(F.get("_b", lo + step) <= F.col("_k"), F.lit(False)), lo + step).otherwise(lo))
     first = F.get("_b", F.col("_r")) == F.col("_k")
     before = F.when(F.col("_r") == 0, F.size("_b") - 1).otherwise(F.col("_r") - 1)
     own = F.struct(F.col("_r").alias("r"), F.lit(False).alias("ghost"))
     ghost = F.struct(before.alias("r"), F.lit(True).alias("ghost"))
     to = F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("_to")
-    dealt = keyed.withColumn("_r", at).select(*docs.columns, "_k", to).select(*docs.columns, "_k", F.xxhash64("text").alias("_h"), F.col("_to.r").alias("_r"), F.col("_to.ghost").alias("_ghost"))
-    order = Window.partitionBy("_r").orderBy("_ghost", "_k", "_h")
+    dealt = keyed.withColumn("_r", at).select(*docs.columns, "_k", to).select(*docs.columns, "_k", F.col("_to.r").alias("_r"), F.col("_to.ghost").alias("_ghost"))
+    order = Window.partitionBy("_r").orderBy("_ghost", "_k")
     return dealt.select(*docs.columns, "_ghost", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter("not _ghost").drop("_ghost")
 
 

@@ -75,6 +75,20 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), begin
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data, uint8, begin and end; data ends with a blank or the last word with it."""
+    space = _SPACE[data]
+    padded = np.r_[True, space, True]
+    return np.flatnonzero(padded[:-1] & ~padded[1:]), np.flatnonzero(~padded[:-1] & padded[1:])
+
+
+def word_sums(words: np.ndarray) -> np.ndarray:
+    """Sums so that range_hash can take any range of word hashes."""
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum((words | _U(1)) * powers(len(words))[0], out=sums[1:])
+    return sums
+
+
 def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles.
 
@@ -84,11 +98,7 @@ def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.nda
     for own in chunks((t or "").encode("utf-8", "surrogatepass").lower() for t in texts):
         data, begin = joined(own)
         sums = prefix_sums(data)
-        space = _SPACE[data]
-        before = np.empty_like(space)
-        before[0], before[1:] = True, space[:-1]
-        start = np.flatnonzero(before & ~space)
-        end = np.flatnonzero(space & ~before)
+        start, end = word_places(data)
         words = range_hash(sums, start, end)
         first = np.searchsorted(start, begin)
         if len(words) >= width:

@@ -2,12 +2,16 @@ r"""Exact substring dedup with deep-shallow sorted suffixes.
 
 Each byte is removed that a string of ``LENGTH`` bytes covers which also starts
 anywhere else, in the same document or another. Strings are judged on the input.
+Passages are judged in words, too, as ``LENGTH`` bytes are more than many a passage: the words that a
+string of ``WORDS`` words covers which also starts anywhere else are counted, not removed.
 
 1. Sampled suffixes. Of each window of LENGTH bytes the ``GRAM``-byte substring with
-   the least hash is its anchor, the leftmost of equals. Equal windows have equal
+   the least hash is its anchor, the leftmost of equals; of each window of WORDS words it is the
+   least string of ``WORD_GRAM`` words. Equal windows have equal
    anchors at equal offsets, so windows are only compared with those of anchors of
    the same substring. An anchor serves a run of neighbouring windows; what they
-   cover together is its context.
+   cover together is its context. Neighbouring runs of equal contexts, as a text has that
+   repeats a few words on and on, are one row with their number.
 2. Contexts that are equal, offsets included, form a class. If a class has two
    anchors, all its windows repeat, and the context is covered. An anchor whose substring
    has one class only, with one anchor, is alone.
@@ -24,7 +28,7 @@ anywhere else, in the same document or another. Strings are judged on the input.
    counted. All of it are partial counts of hashes.
 5. Covered ranges are merged for each document.
 
-Hashes have 64 bits beside the 64 of the anchor's substring.
+Hashes have 64 bits beside the 63 of the anchor's substring, whose lowest bit tells words from bytes.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH keep all bytes;
 equal rows are copies of each other and are both removed; a null doc_id is a document like
@@ -38,20 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import materialize, packed, slices, table
-from plinth.llm.hashing import chunks, joined, mix, powers, prefix_sums, range_hash
+from plinth.llm.common import materialize, packed, scratch, slices, table
+from plinth.llm.hashing import chunks, joined, mix, powers, prefix_sums, range_hash, word_places, word_sums
 
 LENGTH = 400
 GRAM = 32
+WORDS = 51
+WORD_GRAM = 5
 MOST_CLASSES = 64
 SHALLOW = 48
 BLOCK = 16
 _U = np.uint64
 _LATE = np.iinfo(np.uint64).max
+_BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
 # Anchors ---------------------------------------------------------------------
@@ -69,45 +76,60 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """text, anchor, first and last window start (all within the text), gram hash, context hash."""
-    data, begin = joined(texts)
+def anchor_runs(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """text, anchor, first and last window start, last one of equal runs, their number, gram hash, context hash.
+
+    sums are prefix sums of the texts' bytes or words; a text lies from begin to end. Places
+    are counted from the text's begin.
+    """
+    n = len(sums) - gram
     none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return (none,) * 4 + (none.astype(_U),) * 2
-    sums = prefix_sums(data)
-    n = len(data) - gram + 1
+    nothing = (none,) * 6 + (none.astype(_U),) * 2
+    if n < length - gram + 1:
+        return nothing
     keys = (sums[gram:] - sums[:-gram]) * powers(len(sums))[1][:n] * _U(0xFF51AFD7ED558CCD)
     order = (keys & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
     anchor = (_least(order, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     starts = np.arange(len(anchor))
     text = np.searchsorted(begin, starts, side="right") - 1
-    valid = starts + length < begin[text + 1]  # the line feed after a text is not its own
+    valid = starts + length <= end[text]
     starts, anchor, text = starts[valid], anchor[valid], text[valid]
     if not len(starts):
-        return (none,) * 4 + (none.astype(_U),) * 2
+        return nothing
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[new[1:], len(starts)] - 1
     a, p1, p2, t = anchor[new], starts[new], starts[last], text[new]
     gram_hash = range_hash(sums, a, a + gram)
     shape = (a - p1).astype(_U) * _U(0x9FB21C651E98DF25) + (p2 - p1).astype(_U)
     context = mix(range_hash(sums, p1, p2 + length) ^ mix(shape))
-    return t, a - begin[t], p1 - begin[t], p2 - begin[t], gram_hash, context
+    own = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (gram_hash[1:] != gram_hash[:-1]) | (t[1:] != t[:-1])])
+    final = np.r_[own[1:], len(t)] - 1
+    of = begin[t]
+    return t[own], (a - of)[own], (p1 - of)[own], (p2 - of)[own], (p2 - of)[final], final - own + 1, gram_hash[own], context[own]
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """d, th, a, p1, p2, q, m, g, c: the runs of all documents (d, th, text), in bytes and, g being odd, in words."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             at = 0
             for own in chunks((t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()):
-                t, a, p1, p2, g, c = anchor_runs(own, length, gram)
-                if len(t):
-                    columns = [pa.array(ids[at + t], pa.int64()), pa.array(hashes[at + t], pa.int64()), *[pa.array(x.astype(np.int32)) for x in (a, p1, p2)], *[pa.array(x.view(np.int64)) for x in (g, c)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "a", "p1", "p2", "g", "c"])
+                data, begin = joined(own)
+                sums = prefix_sums(data)
+                start, end = word_places(data)
+                first = np.searchsorted(start, begin)
+                in_bytes = anchor_runs(sums, begin[:-1], begin[1:] - 1, length, gram)
+                in_words = anchor_runs(word_sums(range_hash(sums, start, end)), first[:-1], first[1:], WORDS, WORD_GRAM)
+                for odd, (t, a, p1, p2, q, m, g, c) in enumerate((in_bytes, in_words)):
+                    if len(t):
+                        g = g & ~_U(1) | _U(odd)
+                        columns = [pa.array(ids[at + t], pa.int64()), pa.array(hashes[at + t], pa.int64()), *[pa.array(x.astype(np.int32)) for x in (a, p1, p2, q, m)], *[pa.array(x.view(np.int64)) for x in (g, c)]]
+                        yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "a", "p1", "p2", "q", "m", "g", "c"])
                 at += len(own)
 
-    return docs.select("d", "th", "text").mapInArrow(scan, "d long, th long, a int, p1 int, p2 int, g long, c long")
+    return docs.select("d", "th", "text").mapInArrow(scan, "d long, th long, a int, p1 int, p2 int, q int, m int, g long, c long")
 
 
 # Deep-shallow sorting ----------------------------------------------------------
@@ -220,12 +242,24 @@ def _common_lengths(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def shared_windows(contexts: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each (context, anchor offset): ranges of it that windows shared with any other cover."""
-    after = _common_lengths([c[a:] for c, a in contexts])
-    before = _common_lengths([c[:a][::-1] for c, a in contexts])
+def _sides(context: bytes, at: int, in_words: bool) -> tuple[bytes, bytes, np.ndarray | None, np.ndarray | None]:
+    """The context from the anchor on and, backwards, before it; and for words how many end by each byte of both."""
+    if not in_words:
+        return context[at:], context[:at][::-1], None, None
+    ws = context.split(b" ")
+    sides = [b"".join(w + b" " for w in own) for own in (ws[at:], [w[::-1] for w in reversed(ws[:at])])]
+    return *sides, *[np.cumsum(np.r_[0, np.frombuffer(x, np.uint8) == 32]) for x in sides]
+
+
+def shared_windows(contexts: list[tuple[bytes, int]], length: int = LENGTH, in_words: bool = False) -> list[list[tuple[int, int]]]:
+    """For each (context, anchor's place): ranges of it, in bytes or words, that windows shared with any other cover."""
+    sides = [_sides(c, a, in_words) for c, a in contexts]
+    after = _common_lengths([x[0] for x in sides])
+    before = _common_lengths([x[1] for x in sides])
     out = []
     for i, (_, a) in enumerate(contexts):
+        if in_words:
+            after[i], before[i] = sides[i][2][after[i]], sides[i][3][before[i]]
         # Windows begin from a - before[i, j] on and end at a + after[i, j] at last.
         own = [(a - int(before[i, j]), a + int(after[i, j])) for j in range(len(contexts)) if j != i]
         out.append(merged([(s, e) for s, e in own if e - s >= length]))
@@ -249,8 +283,9 @@ def _by_context(ctx: DataFrame, length: int) -> DataFrame:
     """Covered ranges of the single contexts in small buckets."""
 
     def solve(rows: list[dict]) -> list[tuple[int, int, int, int]]:
-        found = shared_windows([(r["ctx"], r["off"]) for r in rows], length)
-        return [(r["d"], r["th"], r["p1"] + s, r["p1"] + e) for r, own in zip(rows, found, strict=True) if r["single"] for s, e in own]
+        odd = rows[0]["g"] & 1
+        found = shared_windows([(r["ctx"], r["off"]) for r in rows], WORDS if odd else length, bool(odd))
+        return [(r["d"], r["th"], odd, r["p1"] + s, r["p1"] + e) for r, own in zip(rows, found, strict=True) if r["single"] for s, e in own]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -265,12 +300,22 @@ def _by_context(ctx: DataFrame, length: int) -> DataFrame:
         if rows:
             yield _ranges(solve(rows))
 
-    return ctx.sortWithinPartitions("g").mapInArrow(scan, "d long, th long, s int, e int")
+    return ctx.sortWithinPartitions("g").mapInArrow(scan, "d long, th long, odd int, s int, e int")
+
 
+def _ranges(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["d", "th", "odd", "s", "e"])
 
-def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["d", "th", "s", "e"])
+
+def _odd(g: str = "g") -> Column:
+    """1 for runs of words, 0 for those of bytes."""
+    return F.col(g).bitwiseAND(F.lit(1).cast("bigint")).cast("int")
+
+
+def _window(length: int) -> Column:
+    return F.when(_odd() == 1, F.lit(WORDS)).otherwise(F.lit(length))
 
 
 def _by_blocks(blocks: DataFrame, length: int) -> DataFrame:
@@ -280,38 +325,41 @@ def _by_blocks(blocks: DataFrame, length: int) -> DataFrame:
     alive = blocks.join(cores, [*key, "core"])
     wholes = alive.groupBy(*key, "whole").agg(F.count(F.lit(1)).alias("n_whole"))
     alive = alive.join(wholes, [*key, "whole"])
-    full = alive.filter("n_whole > 1 and single").select("d", "th", F.col("w0").alias("s"), (F.col("w0") + F.size("windows") - 1 + length).cast("int").alias("e"))
+    full = alive.filter("n_whole > 1 and single").select("d", "th", _odd().alias("odd"), F.col("w0").alias("s"), (F.col("w0") + F.size("windows") - 1 + _window(length)).cast("int").alias("e"))
     # Blocks at the ends of a run have fewer windows, so their bytes differ though they share windows.
     one = alive.dropDuplicates([*key, "whole"]).select("g", "d", "th", "w0", "single", "n_whole", F.posexplode("windows").alias("i", "w"))
     twice = one.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "w")
-    parts = one.filter("n_whole = 1 and single").join(twice, ["g", "w"]).select("d", "th", (F.col("w0") + F.col("i")).alias("s"), (F.col("w0") + F.col("i") + length).alias("e"))
+    parts = one.filter("n_whole = 1 and single").join(twice, ["g", "w"]).select("d", "th", _odd().alias("odd"), (F.col("w0") + F.col("i")).alias("s"), (F.col("w0") + F.col("i") + _window(length)).alias("e"))
     return full.unionByName(parts)
 
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_classes: int = MOST_CLASSES) -> DataFrame:
-    """d, th, s, e: byte ranges, overlapping ones too, of documents (d, th, text)."""
+    """d, th, odd, s, e: byte ranges and, where odd is 1, word ranges, overlapping ones too, of documents (d, th, text)."""
     spark = docs.sparkSession
-    found = materialize(anchors(docs, length, gram), "suffix-anchors")
-    pick = [F.first(c).alias(c) for c in ("d", "th", "a", "p1", "p2")]
-    classes = materialize(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *pick), "suffix-classes")
-    repeated = classes.filter("n > 1").select("g", "c")
-    whole = found.join(repeated, ["g", "c"]).select("d", "th", F.col("p1").alias("s"), (F.col("p2") + length).alias("e"))
-
-    buckets = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m")
-    taken = classes.join(buckets, "g").select("d", "th", F.struct("g", "a", "p1", "p2", (F.col("n") == 1).alias("single"), (F.col("m") > most_classes).alias("large")).alias("x"))
-    wanted = taken.groupBy("d", "th").agg(F.collect_list("x").alias("xs"))
-    read = docs.join(wanted, ["d", "th"]).select("d", "th", "text", "xs")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            yield from _contexts(batch.to_pylist(), length)
-
-    schema = T.StructType.fromDDL("d long, th long, g long, single boolean, p1 int, off int, ctx binary, block int, core long, whole long, w0 int, windows array<long>")
-    ctx = materialize(read.mapInArrow(cut, schema), "suffix-contexts")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small = ctx.filter("ctx is not null").select("d", "th", "g", "single", "p1", "off", "ctx").repartition(parts, "g")
-    blocks = ctx.filter("ctx is null").select("d", "th", "g", "single", "block", "core", "whole", "w0", "windows")
-    return whole.unionByName(_by_context(small, length)).unionByName(_by_blocks(blocks, length))
+    with scratch() as kept:
+        found = materialize(anchors(docs, length, gram), "suffix-anchors")
+        pick = [F.first(c).alias(c) for c in ("d", "th", "a", "p1", "p2")]
+        classes = materialize(found.groupBy("g", "c").agg(F.sum("m").alias("n"), *pick), "suffix-classes")
+        repeated = classes.filter("n > 1").select("g", "c")
+        whole = found.join(repeated, ["g", "c"]).select("d", "th", _odd().alias("odd"), F.col("p1").alias("s"), (F.col("q") + _window(length)).cast("int").alias("e"))
+
+        buckets = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m")
+        taken = classes.join(buckets, "g").select("d", "th", F.struct("g", "a", "p1", "p2", (F.col("n") == 1).alias("single"), (F.col("m") > most_classes).alias("large")).alias("x"))
+        wanted = taken.groupBy("d", "th").agg(F.collect_list("x").alias("xs"))
+        read = docs.join(wanted, ["d", "th"]).select("d", "th", "text", "xs")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 64):
+                yield from _contexts(batch.to_pylist(), length)
+
+        schema = T.StructType.fromDDL("d long, th long, g long, single boolean, p1 int, off int, ctx binary, block int, core long, whole long, w0 int, windows array<long>")
+        ctx = materialize(read.mapInArrow(cut, schema), "suffix-contexts")
+        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        small = ctx.filter("ctx is not null").select("d", "th", "g", "single", "p1", "off", "ctx").repartition(parts, "g")
+        blocks = ctx.filter("ctx is null").select("d", "th", "g", "single", "block", "core", "whole", "w0", "windows")
+        ranges = materialize(whole.unionByName(_by_context(small, length)).unionByName(_by_blocks(blocks, length)), "suffix-ranges")
+        kept.append(ranges)
+    return ranges
 
 
 def _contexts(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
@@ -326,55 +374,67 @@ def _contexts(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
 
     for row in rows:
         data = (row["text"] or "").encode("utf-8", "surrogatepass")
-        sums = prefix_sums(np.frombuffer(data, np.uint8)) if any(x["large"] for x in row["xs"]) else None
+        words, sums = None, [None, None]
+        if any(x["g"] & 1 for x in row["xs"]):
+            words = [w for w in data.translate(_BLANKS).split(b" ") if w]
         for x in row["xs"]:
+            odd = x["g"] & 1
+            size = WORDS if odd else length
             if not x["large"]:
-                put(row["d"], row["th"], x["g"], x["single"], x["p1"], x["a"] - x["p1"], data[x["p1"] : x["p2"] + length], None, None, None, None, None)
+                own = b" ".join(words[x["p1"] : x["p2"] + size]) if odd else data[x["p1"] : x["p2"] + size]
+                put(row["d"], row["th"], x["g"], x["single"], x["p1"], x["a"] - x["p1"], own, None, None, None, None, None)
                 continue
+            if sums[odd] is None:
+                sums[odd] = prefix_sums(np.frombuffer(data, np.uint8))
+                if odd:
+                    sums[odd] = word_sums(range_hash(sums[odd], *word_places(np.frombuffer(data, np.uint8))))
             starts = np.arange(x["p1"], x["p2"] + 1)
-            windows = range_hash(sums, starts, starts + length).view(np.int64)
+            windows = range_hash(sums[odd], starts, starts + size).view(np.int64)
             offsets = (x["a"] - starts) // BLOCK
             for b in np.unique(offsets):
                 own = np.flatnonzero(offsets == b)
                 w0, w1 = starts[own[0]], starts[own[-1]]
                 # The bytes that every window of the block holds, wherever the run of windows ends.
-                lo, hi = x["a"] - b * BLOCK, x["a"] - (b * BLOCK + BLOCK - 1) + length
-                core, whole = range_hash(sums, np.array([lo, w0]), np.array([hi, w1 + length])).view(np.int64)
+                lo, hi = x["a"] - b * BLOCK, x["a"] - (b * BLOCK + BLOCK - 1) + size
+                core, whole = range_hash(sums[odd], np.array([lo, w0]), np.array([hi, w1 + size])).view(np.int64)
                 put(row["d"], row["th"], x["g"], x["single"], None, None, None, int(b), int(core), int(whole ^ (x["a"] - w0)), int(w0), windows[own])
     if out[0]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept (binary)."""
-    row, columns = packed(docs, "n_bytes", "n_removed", "n_spans", "kept")
+    """docs with n_bytes, n_removed, n_spans, n_repeated_words, kept (binary)."""
+    row, columns = packed(docs, "n_bytes", "n_removed", "n_spans", "n_repeated_words", "kept")
     keyed = docs.select(row, "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th"))
-    ranges = covered_ranges(keyed.select("d", "th", "text"), length).groupBy("d", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    both = keyed.join(ranges, ["d", "th"], "left").select("row", "text", "ranges")
-    schema = T.StructType([*both.select("row", "text").schema.fields, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
+    ranges = covered_ranges(keyed.select("d", "th", "text"), length)
+    own = lambda odd: F.collect_set(F.when(F.col("odd") == odd, F.struct("s", "e")))
+    ranges = ranges.groupBy("d", "th").agg(own(0).alias("ranges"), own(1).alias("passages"))
+    both = keyed.join(ranges, ["d", "th"], "left").select("row", "text", "ranges", "passages")
+    schema = T.StructType([*both.select("row", "text").schema.fields, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, n_repeated_words long, kept binary").fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for text, found, passages in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 spans = merged([(r["s"], r["e"]) for r in found or ()])
                 edges = [0, *[x for span in spans for x in span], len(data)]
                 kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                for to, v in zip(out, (len(data), len(data) - len(kept), len(spans), kept), strict=True):
+                words = sum(e - s for s, e in merged([(r["s"], r["e"]) for r in passages or ()]))
+                for to, v in zip(out, (len(data), len(data) - len(kept), len(spans), words, kept), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], names=["row", "text", "n_bytes", "n_removed", "n_spans", "n_repeated_words", "kept"])
 
-    return both.mapInArrow(scan, schema).select(*columns, "n_bytes", "n_removed", "n_spans", "kept")
+    return both.mapInArrow(scan, schema).select(*columns, "n_bytes", "n_removed", "n_spans", "n_repeated_words", "kept")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 OP4_SQL = f"""
-with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+with d as materialized (select row_number() over () as r, doc_id, text, hex(encode(coalesce(text, ''))) as h from documents),
 n as (select *, length(h) // 2 as n from d),
 w as (select r, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) as k from (select r, h, unnest(range(0, n - {LENGTH - 1})) as p from n where n >= {LENGTH})),
 t as (select k from w group by k having count(*) > 1),
@@ -383,7 +443,11 @@ i as (select r, p, case when p - lag(p) over (partition by r order by p) <= {LEN
 g as (select r, p, sum(new) over (partition by r order by p) as g from i),
 s as (select r, g, min(p) as s, max(p) + {LENGTH} as e from g group by r, g),
 x as (select *, coalesce(lag(e) over (partition by r order by s), 0) as before from s),
-k as (select r, count(*) as n_spans, sum(e - s) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept from x join n using (r) group by r)
-select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
-from n left join k using (r)
+k as (select r, count(*) as n_spans, sum(e - s) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept from x join n using (r) group by r),
+o as (select r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from d),
+u as (select r, p, md5(array_to_string(ws[p:p + {WORDS - 1}], ' ')) as k from (select r, ws, unnest(range(1, len(ws) - {WORDS - 2})) as p from o where len(ws) >= {WORDS})),
+v as (select r, p from u semi join (select k from u group by k having count(*) > 1) using (k)),
+q as (select r, sum(least({WORDS}, coalesce(further - p, {WORDS}))) as n_words from (select r, p, lead(p) over (partition by r order by p) as further from v) group by r)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256, cast(coalesce(n_words, 0) as bigint) as n_repeated_words
+from n left join k using (r) left join q using (r)
 """

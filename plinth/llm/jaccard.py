@@ -39,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import discard, materialize, slices, table
+from plinth.llm.common import materialize, scratch, slices, table
 from plinth.llm.components import components
 from plinth.llm.hashing import mix, shingle_sets
 
 PERCENT = 75
 WIDTH = 5
+#: At most 15, as four bits of a prefix row hold it.
 MOST_MATCHES = 4
-#: Cells of each of the two rows of the sketch.
+#: Cells of each of the two rows of the sketch. With N distinct shingles of all documents a cell holds
+#: about N / CELLS more than it should; only counts six deviations above that are told from it.
 CELLS = 1 << 18
 #: Cost of one comparison and of one prefix row, in index entries read.
 COMPARE, EMIT = 50.0, 1.0
@@ -100,8 +102,8 @@ def node(docs: DataFrame) -> Column:
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """token, doc, meta: the chosen prefix of each document.
 
-    meta holds the set's size, the least k at which the token is in the prefix, and
-    the document's k, see ``_opened``.
+    meta holds the set's size, the token's place in the document's order, and
+    the document's k, see ``_opened``: a text has less than 2**30 shingles.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -118,8 +120,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
                     continue
                 one, two = _cells(own)
                 seen = np.minimum(held[0][one], held[1][two]).astype(np.float64)
-                many = np.maximum(seen - noise, 1.0)
-                rank = np.where(seen > floor, np.ceil(np.log2(many)), 0.0)
+                many = np.where(seen > floor, seen - noise, 1.0)
+                rank = np.ceil(np.log2(many))
                 order = np.lexsort((own, rank))
                 least = -(-percent * n // 100)
                 others = np.cumsum(many[order] - 1)
@@ -129,7 +131,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH, percent: i
                 k = int(ks[np.argmin(EMIT * length + found + COMPARE * found / ks)])
                 size = n - least + k
                 own = own[order[:size]]
-                columns = (_signed(own), np.full(size, doc, np.int64), n << 32 | np.arange(size) << 8 | k)
+                columns = (_signed(own), np.full(size, doc, np.int64), n << 34 | np.arange(size) << 4 | k)
                 for to, c in zip(out, columns, strict=True):
                     to.append(c)
             if out[0]:
@@ -152,9 +154,9 @@ def _opened(t: DataFrame) -> DataFrame:
     return t.select(
         "token",
         "doc",
-        F.shiftright("meta", 32).alias("n"),
-        F.shiftright("meta", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("at"),
-        F.col("meta").bitwiseAND(F.lit(0xFF)).alias("k"),
+        F.shiftrightunsigned("meta", 34).alias("n"),
+        F.shiftright("meta", 4).bitwiseAND(F.lit(0x3FFFFFFF)).alias("at"),
+        F.col("meta").bitwiseAND(F.lit(0xF)).alias("k"),
     )
 
 
@@ -238,35 +240,46 @@ def _labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component for each row of docs; a key is a ``node``."""
     docs = docs.select(node(docs).alias("doc_id"), "text")
-    scanned = materialize(sets_and_sketch(docs, width), "jaccard-sets")
-    sets = scanned.filter("tag = 0").select(F.col("id").alias("key"), "n", "a", "b")
-    counted = scanned.filter("tag = 1").groupBy("id", "n").agg(F.sum("a").alias("c")).toArrow()
-    sketch = np.zeros((2, CELLS), np.int64)
-    sketch[counted["id"].to_numpy(), counted["n"].to_numpy()] = counted["c"].to_numpy()
-
-    # A table of its own, so that the join's other side can be split where a class is large.
-    classes = materialize(sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep")), "jaccard-digests")
-    members = materialize(sets.join(classes, ["n", "a", "b"], "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
-    copies = members.filter("rep <> key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    later = copies.select(F.col("a").alias("doc")).distinct()
-
-    found = materialize(prefixes(docs, sketch, width, percent), "jaccard-prefixes")
-    shared = materialize(shared_tokens(found), "jaccard-shared")
-    discard(found)
-    alive = _opened(shared.join(later, "doc", "left_anti"))
-    tokens = materialize(_with_shared(shared_tokens(alive).drop("lead")), "jaccard-tokens")
-    discard(shared)
+    with scratch() as kept:
+        scanned = materialize(sets_and_sketch(docs, width), "jaccard-sets")
+        sets = scanned.filter("tag = 0").select(F.col("id").alias("key"), "n", "a", "b")
+        counted = scanned.filter("tag = 1").groupBy("id", "n").agg(F.sum("a").alias("c")).toArrow()
+        sketch = np.zeros((2, CELLS), np.int64)
+        sketch[counted["id"].to_numpy(), counted["n"].to_numpy()] = counted["c"].to_numpy()
+
+        # A table of its own, so that the join's other side can be split where a class is large.
+        classes = materialize(sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep")), "jaccard-digests")
+        members = materialize(sets.join(classes, ["n", "a", "b"], "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
+        copies = members.filter("rep <> key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+
+        tokens = _tokens(docs, sketch, copies.select(F.col("a").alias("doc")).distinct(), width, percent)
+        links = materialize(verify(_stars(tokens, percent), docs, width, percent), "jaccard-links")
+        near = components(links)
+        rest = materialize(verify(_candidates(_labelled(tokens, near), percent), docs, width, percent), "jaccard-links")
+        same_id = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+        labels = components(copies.unionByName(links).unionByName(rest).unionByName(same_id.select("a", "b")))
+        kept += [members, labels]
+    return members.join(labels, members["key"] == labels["node"], "left").select("key", "n_shingles", F.coalesce("label", "key").alias("component"))
+
+
+def _tokens(docs: DataFrame, sketch: np.ndarray, later: DataFrame, width: int, percent: int) -> DataFrame:
+    """The prefix rows of all documents but later ones of a class, whose token two of them have at least."""
+    with scratch() as kept:
+        found = materialize(prefixes(docs, sketch, width, percent), "jaccard-prefixes")
+        shared = materialize(shared_tokens(found), "jaccard-shared")
+        alive = _opened(shared.join(later, "doc", "left_anti"))
+        tokens = materialize(_with_shared(shared_tokens(alive).drop("lead")), "jaccard-tokens")
+        kept.append(tokens)
+    return tokens
 
+
+def _stars(tokens: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of a shingle's least document and others that may link."""
+    n, n_a = F.col("n"), F.col("n_a")
     heads = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("h")).select("token", F.col("h.doc").alias("a"), F.col("h.n").alias("n_a"))
-    star = tokens.join(heads, "token").filter((F.col("doc") != F.col("a")) & (F.col("n_a") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_a") * percent))
-    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n").alias("n")).filter(F.col("c") >= _needed(F.col("n_a"), F.col("n"), F.lit(1), percent))
-    links = materialize(verify(star.select("a", "b"), docs, width, percent), "jaccard-links")
-    labels = components(links)
-    rest = materialize(verify(_candidates(_labelled(tokens, labels), percent), docs, width, percent), "jaccard-links")
-    same_id = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    every = copies.unionByName(links).unionByName(rest).unionByName(same_id.select("a", "b"))
-    labels = components(every)
-    return members.join(labels, members["key"] == labels["node"], "left").select("key", "n_shingles", F.coalesce("label", "key").alias("component"))
+    star = tokens.join(heads, "token").filter((F.col("doc") != F.col("a")) & (n_a * 100 >= n * percent) & (n * 100 >= n_a * percent))
+    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n").alias("n"))
+    return star.filter(F.col("c") >= _needed(n_a, n, F.lit(1), percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

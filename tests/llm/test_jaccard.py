@@ -108,6 +108,22 @@ def test_multi_match_prefixes_are_used(spark, corpus):
     assert len(ks) > 1
 
 
+def test_matches_follow_the_estimated_cost(spark, vocabulary):
+    """Only documents of significantly frequent shingles lengthen their prefixes; sketch noise does not."""
+    rnd = random.Random(12)
+    fresh = [" ".join(rnd.choice(vocabulary) for _ in range(300)) for _ in range(40)]
+    common = [rnd.choice(vocabulary) for _ in range(100)]
+    copies = [" ".join(common + [rnd.choice(vocabulary) for _ in range(4)]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(fresh + copies)), "doc_id long, text string")
+    sketch = np.full((2, jaccard.CELLS), 50, np.int64)  # noise of fifty in each cell
+    for own in shingle_sets(fresh + copies):
+        for r, cell in enumerate(jaccard._cells(own)):
+            np.add.at(sketch[r], cell, 1)
+    ks = {r["doc"]: r["k"] for r in jaccard._opened(jaccard.prefixes(df, sketch)).collect()}
+    assert {ks[d] for d in range(40)} == {1}
+    assert all(ks[d] > 1 for d in range(40, 340))
+
+
 def test_odd_rows(spark, odd_docs):
     got = defaultdict(set)
     for r in jaccard.jaccard_components(odd_docs).collect():

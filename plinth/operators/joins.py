@@ -15,8 +15,8 @@ from plinth.functions.scalars import narrow
 class Strategy:
     """How a join is run.
 
-    hint: Spark's join hint for the build side; broadcasts are bounded by
-    ``BROADCAST_ROWS`` of the build side and fall back to a shuffled hash join.
+    hint: Spark's join hint for the build side; broadcasts are bounded by ``BROADCAST_BYTES``
+    and ``BROADCAST_ROWS`` of the build side and fall back to a shuffled hash join.
     single: one partition. unique: build keys must be unique. dense: keys and
     payloads must not be negative, negative probe keys are skipped.
     """
@@ -27,8 +27,11 @@ class Strategy:
     dense: bool = False
 
 
-#: Rows of a build side that a broadcast strategy sends to every executor at most.
+#: Rows and bytes of a build side that a broadcast strategy sends to every executor at most.
 BROADCAST_ROWS = 5_000_000
+BROADCAST_BYTES = 256 << 20
+#: Bytes of a hashed row besides its columns' own, as an estimate.
+ROW_BYTES = 32
 
 STRATEGIES = {
     "npo": Strategy("broadcast"),
@@ -44,7 +47,9 @@ STRATEGIES = {
 
 
 def _fits(build: DataFrame) -> bool:
-    return build.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether the build side may be broadcast: a count of its fixed-width rows, that ends at the limit, proves it."""
+    most = min(BROADCAST_ROWS, BROADCAST_BYTES // (ROW_BYTES + 8 * len(build.columns)))
+    return build.limit(most + 1).count() <= most
 
 
 def _hinted(build: DataFrame, hint: str) -> DataFrame:
@@ -78,6 +83,21 @@ def join_count(build: DataFrame, probe: DataFrame, strategy: str) -> DataFrame:
     return join_relations(build, probe, strategy).agg(F.count(F.lit(1)).alias("matches"))
 
 
+def strategy_stats(build: DataFrame, strategy: str, width: int = 4, radix_bits: int = 14) -> DataFrame:
+    """One row: what the strategy's side structure holds by its definition, in bytes.
+
+    Dense ones have a slot of `width` bytes for each key up to the largest; prvj deals them to
+    2**radix_bits parts. The others hold the build side's rows, 16 bytes each.
+    """
+    slots = F.coalesce(F.max("key") + 1, F.lit(0)).cast("bigint")
+    rows = (F.count(F.lit(1)) * 16).cast("bigint")
+    if strategy == "vj":
+        return build.agg(F.lit(width).cast("bigint").alias("payload_width_bytes"), (slots * width).alias("vector_total_bytes"))
+    if strategy == "prvj":
+        return build.agg(F.lit(width).cast("bigint").alias("payload_width_bytes"), (slots * width).alias("partition_vector_total_bytes"), F.lit(1 << radix_bits).cast("bigint").alias("partition_count"), F.lit(radix_bits).cast("bigint").alias("radix_bits"))
+    return build.agg(rows.alias("sortmerge_buffer_bytes" if strategy == "sort_merge" else "hash_table_bytes"))
+
+
 def radix_histogram(relation: DataFrame, bits: int) -> DataFrame:
     """part, cnt, offset: rows for each value of the keys' lowest bits, and rows before."""
     from pyspark.sql import Window

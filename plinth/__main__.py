@@ -53,8 +53,8 @@ def main(argv: list[str] | None = None) -> None:
         print(sinks.markdown(validate.validation_report(tables, params)), end="")
         return
     if args.command == "session":
-        session = RevenueSession(tables, params, args.strict)
-        print(sinks.session_jsonl({"session_id": session.session_id, "session_setup_ms": session.setup_ms}, session.run(args.warmup, args.repeat)), end="")
+        session = RevenueSession(tables, params, args.strict, args.cpu_ratio)
+        print(sinks.session_jsonl(session.setup(), session.run(args.warmup, args.repeat)), end="")
         return
     tables = checked(tables, params) if args.strict else tables
     df = regional_revenue(tables, params) if args.cpu_ratio is None else hybrid.split_revenue(tables, params, args.cpu_ratio)

@@ -28,19 +28,26 @@ def is_result_hash(text: Column) -> Column:
     return F.rlike(text, F.lit("^[0-9a-f]{16}$"))
 
 
-def local_number(text: Column) -> Column:
-    """A number with group and decimal marks of either habit as double; null if it is none.
+def local_number(text: Column, single_decimal: bool = False) -> Column:
+    """A number with group and decimal marks of either habit as double; null if it is none, 0 if it is blank.
 
-    The last of point and comma is the decimal mark when both occur; a lone comma
-    followed by other than three digits is one too.
+    Of point and comma the last is the decimal mark when both occur. Marks of one kind part
+    groups when there are several and three digits follow each, or when one stands after
+    one to three digits and before three; any other single one is the decimal mark, and with
+    single_decimal every single one is.
     """
-    bare = F.regexp_replace(F.btrim(text), r"[\x20  ']", "")
-    last_comma = F.length(bare) - F.instr(F.reverse(bare), ",")
-    last_point = F.length(bare) - F.instr(F.reverse(bare), ".")
-    both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
-    comma_is_mark = F.when(both, last_comma > last_point).otherwise(F.rlike(bare, F.lit(r"^[^,]*,(\d{1,2}|\d{4,})$")))
-    plain = F.when(comma_is_mark, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    return F.when(F.rlike(plain, F.lit(r"^-?\d+(\.\d+)?$")), plain).cast("double")
+    bare = F.regexp_replace(text, "[\\x20\\x09-\\x0D\u00a0]", "")
+    sign = F.when(F.startswith(bare, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+    body = F.regexp_replace(bare, "^[+-]", "")
+    both = F.contains(body, F.lit(",")) & F.contains(body, F.lit("."))
+    grouped = F.rlike(body, F.lit(r"^[^.,]*([.,][^.,]{3}){2,}$"))
+    if not single_decimal:
+        grouped = grouped | F.rlike(body, F.lit(r"^[^.,]{0,3}[.,][^.,]{3}$"))
+    last_only = F.regexp_replace(body, "[.,](?=.*[.,])", "")
+    plain = F.when(both, last_only).when(grouped, F.regexp_replace(body, "[.,]", "")).otherwise(body)
+    plain = F.replace(plain, F.lit(","), F.lit("."))
+    number = F.when(F.rlike(plain, F.lit(r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain).cast("double") * sign
+    return F.when(bare == "", F.lit(0.0)).otherwise(number)
 
 
 def result_hash(rows: Iterable[tuple[str, int]]) -> str:

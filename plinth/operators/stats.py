@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +116,67 @@ def evaluation(points: DataFrame, auto: DataFrame, baseline: DataFrame) -> DataF
     deltas = points.join(baseline, "scale").select("scale", "ratio", (F.col("p50") - F.col("baseline_ms")).alias("delta"))
     crossings = break_even(deltas).groupBy("scale").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("break_even"))
     return best_and_regret(points, auto).join(crossings, "scale", "left")
+
+
+#: What a summary of benchmark records is grouped by, fixed values of the record format.
+GROUP_FIELDS = ("experiment_id", "scale_factor", "config_id", "engine", "threads", "ratio_mode", "cpu_ratio", "gpu_ratio", "lifecycle")
+RESIDENT = ("resident_host_bytes", "resident_gpu_bytes", "resident_pinned_bytes")
+
+
+def record_summary(records: DataFrame, setups: DataFrame) -> DataFrame:
+    """A row for each group of GROUP_FIELDS with a success: counts, hash, statistics, setup and amortised cost.
+
+    Raises where warm-ups are among the records, a configuration has not one setup, or its hashes differ.
+    """
+    if not records.filter("is_warmup").isEmpty():
+        raise ValueError("a summary takes measured requests only")
+    ok = F.col("status") == "ok"
+    x = F.when(ok, F.col("query_total_ms").cast("double"))
+    out = records.groupBy(*GROUP_FIELDS).agg(
+        F.count_if(ok).alias("success_count"),
+        F.count_if(~ok).alias("failure_count"),
+        F.count_distinct(F.when(ok, F.col("result_hash"))).alias("hashes"),
+        F.max(F.when(ok, F.col("result_hash"))).alias("result_hash"),
+        *[F.percentile(x, F.lit(q)).alias(name) for name, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95))],
+        F.avg(x).alias("mean"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.stddev_pop(x).alias("pstdev"),
+    )
+    own = setups.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_setups"), *[F.max(c).alias(c) for c in ("dataset_load_ms", "session_setup_ms", "tune_ms", *RESIDENT)])
+    both = out.filter("success_count > 0").join(own, "config_id", "left")
+    bad = both.filter("coalesce(n_setups, 0) <> 1 or hashes > 1").first()
+    if bad:
+        raise ValueError(f"configuration {bad['config_id']} has {bad['n_setups'] or 0} setups and {bad['hashes']} result hashes")
+    cost = F.col("dataset_load_ms") + F.col("session_setup_ms")
+    resident = sum((F.col(c) for c in RESIDENT[1:]), F.col(RESIDENT[0]))
+    return amortised(both.drop("n_setups", "hashes").withColumn("setup_cost_ms", cost).withColumn("resident_total_bytes", resident))
+
+
+def provenance_faults(setups: DataFrame) -> DataFrame:
+    """config_id, fault: setups whose account of how the share was chosen does not add up.
+
+    Where it is unavailable all its fields are null; where it is measured they are not, rows
+    and times are above 0, rates are rows over times, the boundary is the realised share of the
+    rows, and the fixed time is what the calibration took beyond its kernel.
+    """
+    fields = ("model_version", "calibration_rows", "cpu_calibration_ms", "gpu_calibration_ms", "gpu_kernel_calibration_ms", "cpu_rows_per_ms", "gpu_rows_per_ms", "gpu_fixed_ms", "boundary_rows", "realized_ratio", "predicted_ratio")
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9), F.abs(b) * 1e-9)
+    c, rows = F.col, F.col("calibration_rows")
+    known = [c(f).isNotNull() for f in fields]
+    measured = c("provenance") == "measured"
+    every, some = reduce(lambda a, b: a & b, known), reduce(lambda a, b: a | b, known)
+    rules = (
+        ("status", ~c("provenance").isin("measured", "unavailable")),
+        ("fields of an unavailable one", (c("provenance") == "unavailable") & some),
+        ("auto without one", (c("provenance") == "unavailable") & (c("ratio_mode") == "auto") & (c("status") == "ok")),
+        ("missing fields", measured & ~every),
+        ("mode", measured & (c("ratio_mode") != "auto")),
+        ("not above 0", measured & ~((rows > 0) & (c("cpu_calibration_ms") > 0) & (c("gpu_kernel_calibration_ms") > 0))),
+        ("share", measured & ~(c("realized_ratio").between(0, 1) & near(c("realized_ratio"), c("selected_ratio")))),
+        ("boundary", measured & ~(c("boundary_rows").between(F.lit(0), rows) & near(c("realized_ratio") * rows, c("boundary_rows")))),
+        ("rates", measured & ~(near(c("cpu_rows_per_ms") * c("cpu_calibration_ms"), rows.cast("double")) & near(c("gpu_rows_per_ms") * c("gpu_kernel_calibration_ms"), rows.cast("double")))),
+        ("fixed time", measured & ~near(c("gpu_fixed_ms"), F.greatest(F.lit(0.0), c("gpu_calibration_ms") - c("gpu_kernel_calibration_ms")))),
+    )
+    faults = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(what)) for what, bad in rules]), lambda x: x.isNotNull())
+    return setups.select("config_id", F.explode(faults).alias("fault"))

@@ -10,60 +10,14 @@ from pyspark.sql import functions as F
 from plinth.functions import dates, money, scalars
 from plinth.operators import compare, hybrid, joins, revenue, stats, validate
 from plinth.operators.revenue import REVENUE_SQL, RevenueParams
+from plinth.plans import files  # noqa: F401  registers its queries
+from plinth.plans.registry import ASIA, MATCHED, ORACLES, QUERIES, REV, START, Tables, query, revenue_sql  # noqa: F401
 from plinth.sources import generate
 from plinth.sources.records import row_kind
 from plinth.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, read_parquet, register_views
 
-#: Orders in the generated tables start here.
-START = date(1995, 1, 1)
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str, name: str | None = None):
-    """Register a function of (spark, tables, sf_dir) with its SQL."""
-
-    def put(f):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(spark, _Tables(spark, sf_dir))
-        ORACLES[key] = sql
-        return f
-
-    return put
-
-
-class _Tables(dict):
-    """Tables by name, read when first asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__()
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __missing__(self, name: str) -> DataFrame:
-        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self[name]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revenue.regional_revenue(_Tables(spark, sf_dir), RevenueParams("ASIA", START))
-
-
-def revenue_sql(region: str = "ASIA", start: str = "1995-01-01", end: str = "1996-01-01") -> str:
-    return REVENUE_SQL.format(region=region, start=start, end=end)
-
-
-MATCHED = """
-from customer c
-join orders o on c.c_custkey = o.o_custkey
-join lineitem l on l.l_orderkey = o.o_orderkey
-join supplier s on l.l_suppkey = s.s_suppkey and c.c_nationkey = s.s_nationkey
-join nation n on s.s_nationkey = n.n_nationkey
-join region r on n.n_regionkey = r.r_regionkey
-where r.r_name = 'ASIA' and o.o_orderdate >= date '1995-01-01' and o.o_orderdate < date '1996-01-01'
-"""
-REV = "(cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as bigint)))"
-ASIA = RevenueParams("ASIA", START)
+    return revenue.regional_revenue(Tables(spark, sf_dir), RevenueParams("ASIA", START))
 
 
 # Regional revenue ------------------------------------------------------------

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,32 +66,54 @@ def read_strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_profiler_csv(spark: SparkSession, path: str) -> DataFrame:
-    """name, kind, total: rows of a profiler's summary, comma- or semicolon-separated.
+    """report, name, kind, total, average, instances, time_percent: rows of a profiler's summary.
 
-    kind is memcpy, kernel, range or other, told from the name; total is the first
-    column whose header holds `total`, with numbers of any locale.
+    Comma- or semicolon-separated, with numbers of any locale; headers count by their letters
+    and digits alone. A row with a range's name is a range, a colon before it is dropped; the
+    kind of any other row is told from the report, which is the file's name, and its own name.
     """
     lines = spark.read.text(path).filter(F.btrim("value") != "")
-    head = lines.first()["value"]
-    mark = ";" if head.count(";") > head.count(",") else ","
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"{path}: no rows")
+    mark = ";" if head["value"].count(";") > head["value"].count(",") else ","
     raw = spark.read.csv(path, header=True, sep=mark)
-    names = {c: "_".join("".join(x if x.isalnum() else " " for x in c.lower()).split()) for c in raw.columns}
-    total = next((c for c, n in names.items() if "total" in n), raw.columns[0])
-    name = next((c for c, n in names.items() if n in ("name", "operation", "range", "kernel_name")), raw.columns[-1])
-    return raw.select(F.col(f"`{name}`").alias("name"), row_kind(F.col(f"`{name}`")).alias("kind"), local_number(F.col(f"`{total}`")).alias("total"))
+    report = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    names = {"".join(x for x in c.lower() if x.isalnum()): F.col(f"`{c}`") for c in raw.columns}
+
+    def value(*headers: str) -> Column:
+        return F.coalesce(*[names[h] for h in headers if h in names], F.lit(""))
+
+    own = F.regexp_replace(value("range", "rangename"), "^:", "")
+    name = F.when(own != "", own).otherwise(value("operation", "name"))
+    return raw.select(
+        F.lit(report).alias("report"),
+        name.alias("name"),
+        F.when(own != "", F.lit("range")).otherwise(row_kind(name, report)).alias("kind"),
+        local_number(value("totaltimens", "durationns")).alias("total"),
+        local_number(value("averagens", "averagetimens")).alias("average"),
+        local_number(value("instances", "calls")).alias("instances"),
+        local_number(value("time", "timepercent"), single_decimal=True).alias("time_percent"),
+    )
 
 
-def row_kind(name):
-    """memcpy, kernel, range or other by the name of a profiler row."""
-    low = F.lower(name)
+def row_kind(name: Column, report: str = "") -> Column:
+    """memcpy, kernel, range or other by the names of a profiler's row and report."""
+    low = F.lower(F.concat(F.lit(report + " "), name))
     return (
-        F.when(F.rlike(low, F.lit("memcpy|memset|h2d|d2h")), "memcpy")
-        .when(F.rlike(low, F.lit("kernel|<<<|__global__")), "kernel")
-        .when(F.startswith(low, F.lit(":")) | F.rlike(low, F.lit("range|nvtx")), "range")
+        F.when(F.contains(low, F.lit("mem")) & F.contains(low, F.lit("cpy")), "memcpy")
+        .when(F.contains(low, F.lit("kern")) | F.contains(F.lower(name), F.lit("void ")), "kernel")
+        .when(F.contains(low, F.lit("nvtx")) | F.contains(low, F.lit("range")), "range")
         .otherwise("other")
     )
 
 
+def missing_ranges(rows: DataFrame, required: list[str]) -> DataFrame:
+    """name: required ranges that the profiler's rows lack."""
+    wanted = rows.sparkSession.createDataFrame([(x,) for x in required], "name string")
+    return wanted.join(rows.filter("kind = 'range'"), "name", "left_anti").distinct()
+
+
 def kernel_metrics(long_rows: DataFrame, kernel: str) -> DataFrame:
     """One row of metrics (kernel, metric, value as rows) of the one kernel whose name holds `kernel`.
 
@@ -101,13 +127,52 @@ def kernel_metrics(long_rows: DataFrame, kernel: str) -> DataFrame:
     return own.groupBy("kernel").pivot("metric").agg(F.first("value"))
 
 
+def read_identity(spark: SparkSession, folder: str) -> dict[str, str]:
+    """experiment_id, scale_factor, dataset, manifest_sha256, expected_hash and commit of a folder's environment.json."""
+    body = json.loads(spark.read.text(f"{folder}/environment.json", wholetext=True).first()["value"])
+    runner = body["formal_runner"]
+    matrix = runner["matrix_payload"]
+    own = matrix["dataset"]
+    found = {
+        "experiment_id": matrix["experiment_id"],
+        "scale_factor": own["scale_factor"],
+        "dataset": own["path"],
+        "manifest_sha256": own["manifest_sha256"],
+        "expected_hash": own["expected_hash"],
+        "commit": body["git"]["commit"],
+    }
+    if found["commit"] != runner["git_commit"]:
+        raise ValueError("the environment's commit is not the runner's")
+    for key, digits in (("manifest_sha256", 64), ("expected_hash", 16)):
+        if not re.fullmatch(f"[0-9a-f]{{{digits}}}", str(found[key])):
+            raise ValueError(f"{key} must be {digits} hex digits in lower case")
+    return {k: str(v) for k, v in found.items()}
+
+
+def check_identity(rows: DataFrame, identity: dict[str, str]) -> None:
+    """Raise ValueError where a record names another experiment, scale or dataset than its folder does."""
+    for key in ("experiment_id", "scale_factor", "dataset"):
+        if key in rows.columns and not rows.filter(F.col(key).cast("string") != identity[key]).isEmpty():
+            raise ValueError(f"a record's {key} is not {identity[key]!r}")
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """scale, ratio, p50 of fixed-share runs from a session file, a summary CSV or a raw CSV.
 
     A `.jsonl` file gives the median of its measured requests by selected_cpu_ratio;
     a CSV with a column request_median_ms is a summary, one with query_total_ms raw
-    records. The scale of a session file is the name of its folder.
+    records. The scale of a session file is the name of its folder. A folder with an
+    environment.json gives its raw.csv or session.jsonl, after check_identity.
     """
+    if not path.endswith((".jsonl", ".csv")):
+        identity = read_identity(spark, path)
+        try:
+            raw = spark.read.csv(f"{path}/raw.csv", header=True)
+        except AnalysisException:
+            out = read_observations(spark, f"{path}/session.jsonl")
+            return out.withColumn("scale", F.lit(identity["scale_factor"]))
+        check_identity(raw, identity)
+        return read_observations(spark, f"{path}/raw.csv")
     if path.endswith(".jsonl"):
         scale = path.rstrip("/").split("/")[-2] if path.count("/") else ""
         measured = read_session(spark, path)[1].filter("not is_warmup and status = 'ok'")

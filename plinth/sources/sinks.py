@@ -77,6 +77,14 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *[line(r) for r in rows]]) + "\n"
 
 
+def safe_path(root: str, relative: str) -> str:
+    """A path below root; an absolute one, or one that leads out of root, raises."""
+    parts = relative.split("/")
+    if not relative or relative.startswith("/") or ":" in parts[0] or ".." in parts:
+        raise ValueError(f"unsafe path: {relative!r}")
+    return f"{root.rstrip('/')}/{relative}"
+
+
 def compact_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """A subset of columns as CSV with a header."""
     missing = [c for c in columns if c not in df.columns]
@@ -96,3 +104,23 @@ def audited_result(path: str, sql: str, rows: Rows, table_hashes: Mapping[str, s
     }
     write_atomically(path, json.dumps(body, indent=2, ensure_ascii=False))
     return body
+
+
+def stats_lines(name: str, stats: Mapping[str, int]) -> str:
+    """Two lines of a join's statistics: NAME_STATS_CSV_HEADER and its columns, NAME_STATS_CSV and the values."""
+    return f"{name}_STATS_CSV_HEADER,{','.join(stats)}\n{name}_STATS_CSV,{','.join(map(str, stats.values()))}\n"
+
+
+def evaluation_files(df: DataFrame, folder: str) -> None:
+    """evaluation.json, .csv and .md of a stats.evaluation(), a row for each scale."""
+    rows = [r.asDict(recursive=True) for r in df.orderBy("scale").collect()]
+    flat = [r | {"break_even": json.dumps([[x["lo"], x["hi"]] for x in r["break_even"] or []])} for r in rows]
+    out = io.StringIO()
+    to = csv.DictWriter(out, df.columns, lineterminator="\n")
+    to.writeheader()
+    to.writerows(flat)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    write_atomically(f"{folder}/evaluation.json", json.dumps({"scales": rows}, indent=2, sort_keys=True) + "\n")
+    write_atomically(f"{folder}/evaluation.csv", out.getvalue())
+    line = lambda xs: "| " + " | ".join("n/a" if x is None else str(x) for x in xs) + " |"
+    write_atomically(f"{folder}/evaluation.md", "\n".join([line(df.columns), line("---" for _ in df.columns), *[line(r.values()) for r in flat]]) + "\n")

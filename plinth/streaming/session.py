@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.functions.scalars import result_hash
+from plinth.operators.hybrid import split_revenue
 from plinth.operators.revenue import RevenueParams, checked, regional_revenue
+from plinth.operators.validate import resident_bytes
 from plinth.sources.tables import CONTRACT, read_parquet
 
 
@@ -16,10 +18,11 @@ class RevenueSession:
     """Holds the six pruned tables in the executors' storage and answers requests.
 
     Every request plans and runs the query on them; the first one's hash is what the
-    others have to give.
+    others have to give. resident_host_bytes counts what the tables' columns hold.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], params: RevenueParams, strict: bool = False):
+    def __init__(self, tables: dict[str, DataFrame], params: RevenueParams, strict: bool = False, ratio: float | None = None):
+        self.ratio = ratio
         self.session_id = str(uuid.uuid4())
         self.params = params
         began = time.perf_counter()
@@ -28,6 +31,7 @@ class RevenueSession:
         for df in self.tables.values():
             df.count()
         self.setup_ms = (time.perf_counter() - began) * 1000
+        self.resident_host_bytes = sum(r["bytes"] for r in resident_bytes(self.tables).collect())
         self._hash: str | None = None
 
     @classmethod
@@ -37,7 +41,7 @@ class RevenueSession:
     def execute(self, index: int = 0, warmup: bool = False) -> dict:
         """A request record; raises if the result differs from the first one's."""
         began = time.perf_counter()
-        rows = [(r["n_name"], r["revenue_1e4"]) for r in regional_revenue(self.tables, self.params).collect()]
+        rows = [(r["n_name"], r["revenue_1e4"]) for r in (regional_revenue(self.tables, self.params) if self.ratio is None else split_revenue(self.tables, self.params, self.ratio)).collect()]
         took = (time.perf_counter() - began) * 1000
         own = result_hash(rows)
         self._hash = self._hash or own
@@ -54,6 +58,10 @@ class RevenueSession:
             "query_total_ms": took,
         }
 
+    def setup(self) -> dict:
+        """The setup record of the session."""
+        return {"session_id": self.session_id, "session_setup_ms": self.setup_ms, "resident_host_bytes": self.resident_host_bytes, "resident_gpu_bytes": 0, "resident_pinned_bytes": 0}
+
     def run(self, warmup: int = 3, repeat: int = 10) -> list[dict]:
         return [self.execute(i, i < warmup) for i in range(warmup + repeat)]
 

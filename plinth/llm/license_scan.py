@@ -12,10 +12,10 @@ sentences counts, the first in a tie. A sentence ends at ``.``, ``!``, ``?`` or
 ``;`` before a blank or the end, or at an empty line. It is normalised by
 lower-casing A-Z and turning all else but letters and digits into single blanks.
 A known sentence that is itself cut (after ``v.`` in ``v. 2.0``) counts where all its pieces follow
-each other, at its last. ``OP7_SQL`` takes its last piece alone.
+each other, at its last.
 
 Only texts with one of the words of ``CUES`` are cut up; each known
-sentence holds one of them (``known_sentences`` checks it).
+sentence holds one of them (``known_runs`` checks it).
 
 Defined cases: a null or empty text has no sentences and no licences; a licence
 found twice is named twice, in order of rules, then position; equal rows come back as
@@ -124,19 +124,11 @@ def normal(sentence: str) -> str:
     return re.sub(_ODD, " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip()
 
 
-def known_sentences() -> dict[str, str]:
-    """OP7_SQL's identifiers by normalised sentence; sentences in pieces count by their last."""
-    found: dict[str, str] = {}
-    for name, sentence in SENTENCES:
-        pieces = [p for p in map(normal, re.split(_BY_LINE, sentence)) if p]
+def known_runs() -> dict[tuple[str, ...], str]:
+    """Identifiers by the normalised pieces that a known sentence is cut into; each sentence holds a cue."""
+    for _, sentence in SENTENCES:
         if not any(c in sentence.lower() for c in CUES):
             raise ValueError(f"no cue in {sentence!r}")
-        found[pieces[-1]] = name
-    return found
-
-
-def known_runs() -> dict[tuple[str, ...], str]:
-    """Identifiers by the normalised pieces that a known sentence is cut into."""
     return {tuple(p for p in map(normal, re.split(_BY_LINE, sentence)) if p): name for name, sentence in SENTENCES}
 
 
@@ -189,23 +181,27 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = known_sentences()
+    known = known_runs()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    names = "map {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in known.items()) + "}"
+    sizes = sorted({len(run) for run in known}, reverse=True)
+    names = ", ".join("map {" + ", ".join(f"{quote('|'.join(run))}: {quote(v)}" for run, v in known.items() if len(run) == k) + f"}} as n{k}" for k in sizes)
     # \$ ends in DuckDB's regular expressions as in Java's but for a last line feed.
-    cut = lambda ends: f"list_filter(list_transform(regexp_split_to_array(t, {quote(ends)}), lambda s: n[trim(regexp_replace(s, '{_ODD}', ' ', 'g'))]), lambda x: x is not null)"
+    cut = lambda ends: f"list_transform(regexp_split_to_array(t, {quote(ends)}), lambda s: trim(regexp_replace(s, '{_ODD}', ' ', 'g')))"
+    name = lambda p, k: f"n{k}[array_to_string({p}[i - {k - 1}:i], '|')]"
+    ids = lambda p: f"list_filter(list_transform(range(1, len({p}) + 1), lambda i: coalesce({', '.join(name(p, k) for k in sizes)})), lambda x: x is not null)"
     steps, at = [], "s0"
-    for i, (name, seq) in enumerate(RULES, 1):
+    for i, (licence, seq) in enumerate(RULES, 1):
         run = "," + ",,".join(seq) + ","
         steps.append(
             f"s{i} as (select doc_id, ids, replace(seq, '{run}', '#') as seq, "
-            f"names || repeat('{name},', cast((length(seq) - length(replace(seq, '{run}', '#'))) / {len(run) - 1} as integer)) as names from {at})"
+            f"names || repeat('{licence},', cast((length(seq) - length(replace(seq, '{run}', '#'))) / {len(run) - 1} as integer)) as names from {at})"
         )
         at = f"s{i}"
     return (
-        f"with k as (select {names} as n), "
+        f"with k as (select {names}), "
         "l as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents), "
-        f"c as (select doc_id, {cut(_BY_LINE)} as a, {cut(_BY_PARAGRAPH)} as b from l, k where regexp_matches(t, '{'|'.join(CUES)}')), "
+        f"q as (select doc_id, {cut(_BY_LINE)} as pa, {cut(_BY_PARAGRAPH)} as pb from l where regexp_matches(t, '{'|'.join(CUES)}')), "
+        f"c as (select doc_id, {ids('pa')} as a, {ids('pb')} as b from q, k), "
         "i as (select doc_id, case when len(b) > len(a) then b else a end as ids from c), "
         "s0 as (select doc_id, ids, ',' || array_to_string(ids, ',,') || ',' as seq, '' as names from i where len(ids) > 0), "
         + ", ".join(steps)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from plinth.llm import license_scan as L
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -55,6 +57,61 @@ def test_every_rule_is_reachable(spark):
     assert [list(got[i]["licenses"]) for i in range(len(texts))] == [[name] for name, _ in L.RULES]
 
 
+def plain_licenses(ids):
+    """The rules in their order, each taking what the ones before have left, in plain lists."""
+    parts, names = [list(ids)], []
+    for name, run in L.RULES:
+        after = []
+        for part in parts:
+            at, i = 0, 0
+            while i + len(run) <= len(part):
+                if tuple(part[i : i + len(run)]) == run:
+                    after.append(part[at:i])
+                    names.append(name)
+                    at = i = i + len(run)
+                else:
+                    i += 1
+            after.append(part[at:])
+        parts = after
+    return names, [x for part in parts for x in part]
+
+
+def test_against_brute_force(spark, vocabulary):
+    """Sentences in any order, one a line between prose, marks and capitals; what is expected comes from the order alone."""
+    rnd = random.Random(6)
+    texts, want = [], []
+    for _ in range(150):
+        lines, ids = [], []
+        for _ in range(rnd.randint(0, 12)):
+            if rnd.random() < 0.3:
+                lines.append(" ".join(rnd.choice(vocabulary) for _ in range(5)) + ".")
+                continue
+            run = rnd.choice(L.RULES)[1] if rnd.random() < 0.4 else [rnd.choice(L.SENTENCES)[0]]
+            for name in run:
+                sentence = rnd.choice([s for n, s in L.SENTENCES if n == name])
+                sentence = rnd.choice([sentence, sentence.upper(), "  * " + sentence, sentence.replace(" ", "  ")])
+                lines.append(sentence + rnd.choice([".", "", "!", ";"]))
+                ids.append(name)
+        texts.append("\n".join(lines))
+        want.append(ids)
+    got = scan(spark, texts)
+    for i, ids in enumerate(want):
+        names, left = plain_licenses(ids)
+        assert (list(got[i]["sentence_ids"]), list(got[i]["licenses"]), list(got[i]["leftover"])) == (ids, names, left), texts[i]
+
+
+def test_sql_needs_all_pieces_too(spark, tmp_path):
+    import duckdb
+
+    mpl = next(t for n, t in L.SENTENCES if n == "MplBy")
+    texts = ["Licensed under the Apache License, v. 2.0.", "No licence. 2.0.", mpl, f"{mpl}.\n{mpl}.", MIT, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = sorted(tuple(r) for r in L.op7_licenses(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(L.OP7_SQL).fetchall()) == own and [r[3] for r in own[:4]] == ["", "", "MPL-2.0", "MPL-2.0,MPL-2.0"]
+
+
 def test_odd_rows(spark, odd_docs, no_docs, clashing):
     assert all(not r["licenses"] for r in L.scan_licenses(odd_docs).collect())
     assert L.scan_licenses(no_docs).count() == 0

@@ -24,5 +24,6 @@ ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op7_licenses": license_scan.OP7_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }

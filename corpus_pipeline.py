@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize, table
+from plinth.llm.common import discard, materialize, scratch, table
 from plinth.llm.decontaminate import decontaminate
 from plinth.llm.jaccard import link_components, node
 from plinth.llm.line_dedup import dedup_lines
@@ -77,8 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; a stage's tables are deleted when its result is written, that one with the next."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as kept:
+            after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(after)
+        if docs is not before:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -76,7 +76,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
@@ -117,6 +117,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to as many tasks as the session has cores where its scan has fewer.
+
+    A file of one row group is one task's, however long its texts take. A scan with a task for
+    each core stays as it is, so nothing is shuffled where there is much to read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, _UPPER, _LOWER)

@@ -39,7 +39,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, materialize, packed, table
+from plinth.llm.common import lower_ascii, materialize, packed, spread, table
 
 WIDTH = 5
 MIN_SHARE = 0.75
@@ -137,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", (F.size("items") > 0).cast("int").alias("contaminated"), F.array_join("items", ",").alias("items"), F.round("similarity", 6).alias("similarity"))
 

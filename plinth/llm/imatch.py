@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize, sha256_hex, table
+from plinth.llm.common import materialize, sha256_hex, spread, table
 
 #: Share of documents that a lexicon term is in, at least and at most.
 MIN_SHARE = 0.001
@@ -164,7 +164,7 @@ def with_next(docs: DataFrame, columns: list[str], per_range: int = 64, most: in
 
 
 def op3_imatch(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     lex = materialize(lexicon(docs), "imatch-lexicon")
     pairs = with_next(with_fingerprint(docs, lex), ["text", "fp"])
     n = F.length("text")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialize, scratch, slices, table
+from plinth.llm.common import materialize, scratch, slices, spread, table
 from plinth.llm.components import components
 from plinth.llm.hashing import mix, shingle_sets
 
@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 OP1_SQL = rf"""

@@ -30,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, packed, table
+from plinth.llm.common import lower_ascii, packed, spread, table
 
 CUES = ("licen", "warrant", "permission", "redistribut", "spdx", "copyright", "public domain", "conditions")
 
@@ -170,7 +170,7 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
-    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scanned = scan_licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return scanned.select(
         "doc_id",
         F.size("sentence_ids").cast("bigint").alias("n_known"),

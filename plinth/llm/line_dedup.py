@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import packed, sha256_hex, table
+from plinth.llm.common import packed, sha256_hex, spread, table
 
 WINDOW = 3
 _BLANK = " \t\r"
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 

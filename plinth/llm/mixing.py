@@ -180,9 +180,9 @@ def schedule(mixed: DataFrame) -> DataFrame:
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
-    from plinth.llm.common import table
+    from plinth.llm.common import spread, table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import packed, sha256_hex, table
+from plinth.llm.common import packed, sha256_hex, spread, table
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -208,7 +208,7 @@ def span_text(spans: Column | str) -> Column:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
-    scanned = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scanned = scan_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
     return scanned.select("doc_id", of(0), of(1), of(2), sha256_hex(span_text("base")).alias("base_sha256"), span_text("found").alias("spans"))
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, materialize, packed, scratch, table
+from plinth.llm.common import lower_ascii, materialize, packed, scratch, spread, table
 
 #: (verdict, rule) as the list gives them.
 RULES = (
@@ -150,7 +150,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _sql() -> str:

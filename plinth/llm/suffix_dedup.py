@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.common import materialize, packed, scratch, slices, table
+from plinth.llm.common import materialize, packed, scratch, slices, spread, table
 from plinth.llm.hashing import chunks, joined, mix, powers, prefix_sums, range_hash, word_places, word_sums
 
 LENGTH = 400
@@ -203,11 +203,17 @@ def blind_trie(strings: list[bytes], own: list[int]) -> list[int]:
 
 
 def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
-    """Indexes of the strings in their order: multikey quicksort, then blind tries."""
+    """Indexes of the strings in their order: multikey quicksort, then blind tries.
+
+    The quicksort skips what all strings of a group have in common.
+    """
     out: list[int] = []
     stack = [(list(range(len(strings))), 0)]
     while stack:
         own, depth = stack.pop()
+        if len(own) > 1 and depth < shallow:
+            first = strings[own[0]][depth:shallow]
+            depth += min(common(first, strings[i][depth:shallow]) for i in own[1:])
         if len(own) < 2:
             out += own
         elif depth >= shallow:
@@ -429,7 +435,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -66,6 +68,55 @@ def test_noisy_or():
     assert model.score(None) == model.score("") == (0.0, [])
 
 
+def plain_score(model, text):
+    """The noisy-or of the worst run of PASSAGE sentences, sentence by sentence."""
+    logs = []
+    for s in re.findall(r"[^.!?\n]+", text):
+        words = set(re.findall(r"[^\W\d_]+", s.lower()))
+        own = words | {w[:n] + "*" for w in words for n in X.PREFIXES if len(w) >= n}
+        logs.append(-math.log1p(math.exp(model.bias + sum(model.weights.get(f, 0.0) for f in own))))
+    return 1 - math.exp(min([sum(logs[i : i + X.PASSAGE]) for i in range(max(1, len(logs) - X.PASSAGE + 1))], default=0.0))
+
+
+def test_score_against_plain_sums(rows):
+    model = X.Model({"grobbish": 7.0, "gro*": 1.5, "flarnt": 6.0, "abc*": 2.0, "x": -1.0, "straße": 5.0, "i̇": 3.0}, -8.0)
+    texts = [t for _, t, _ in rows[:200]] + ["Grobbish grob x. flarnt! FLARNT\nabcd? Straße İ grobbish", "flarnt. " * 700, "x. " * 400 + "grobbish. " * 3, "ΑΣ ΑΣΑ. " * 5, "...", "12 _ 3"]
+    for t in texts:
+        assert abs(model.score(t)[0] - plain_score(model, t)) < 1e-9
+    for t in texts:
+        for s, e, p in model.score(t)[1]:
+            assert abs(p - plain_score(model, t[s:e])) < 1e-9
+
+
+def test_fit_follows_the_loss(rows):
+    """The fitted weights are near a point where the loss, summed up by a plain loop, has no slope."""
+    sample = [(t, y) for _, t, y in rows[:300]]
+    model = X.fit(sample)
+
+    def loss(weights, bias):
+        moved = X.Model(weights, bias)
+        total = 0.0
+        for t, y in sample:
+            logs = [math.log1p(math.exp(moved.sentence(set(X._WORD.findall(s.lower()))))) for s in X._SENTENCE.findall(t)]
+            total += -math.log(-math.expm1(-sum(logs))) if y else sum(logs)
+        return total / len(sample) + X.DECAY / 2 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.bias)
+    for f in list(model.weights)[:6]:
+        for step in (-0.5, 0.5):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.bias) > best - 1e-4
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "w" * 100) for i in range(200)] + [(7, "w" * 50), (7, "z" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    sample = X.training_sample(docs, labels, most_bytes=2000)
+    assert 15 <= len(sample) <= 20 and sum(len(t) for t, _ in sample) <= 2000
+    whole = X.training_sample(docs, labels)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+
+
 def test_length_alone_is_not_toxic(spark, rows, tables):
     """A clean text of 1 MB is clean; one rude sentence anywhere in it is still found."""
     docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))

@@ -32,6 +32,13 @@ def summary(df: DataFrame, keys: list[str], value: str, digits: int | None = Non
     )
 
 
+def measured(requests: DataFrame) -> DataFrame:
+    """The requests that are no warm-ups, with measured_index, their number from 0 in each session."""
+    first = requests.filter("is_warmup").groupBy("session_id").agg(F.count(F.lit(1)).alias("_warm"))
+    rest = requests.filter(~F.col("is_warmup")).join(first, "session_id", "left")
+    return rest.withColumn("measured_index", F.col("request_index") - F.coalesce("_warm", F.lit(0).cast("bigint"))).drop("_warm")
+
+
 def run_summary(requests: DataFrame, setups: DataFrame, keys: list[str], value: str = "query_total_ms") -> DataFrame:
     """summary of the successful measured requests, with counts, hash consensus and setup cost.
 

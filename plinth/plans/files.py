@@ -125,13 +125,12 @@ def arrow_manifest(spark, t):
     return spark.createDataFrame([(n, e["rows"], e["record_batches"]) for n, e in listed.items()], "table string, rows bigint, batches bigint")
 
 
-@query(" union all ".join(f"select '{n}' as \"table\", count(*) as \"rows\" from {n}" for n in SIX))
+@query(" union all ".join(f"select '{n}' as \"table\", count(*) as \"rows\", true as copied from {n}" for n in SIX))
 def prepared_tbl(spark, t):
-    folder = scratch_path(spark, "tbl")
-    for name, lines in ((n, text.read_tbl_dataset(spark, _tbl_folder(spark, t))[n]) for n in SIX):
-        lines.write.parquet(f"{folder}/{name}.parquet")
-    made = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in SIX}
-    return functools.reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows")) for n, df in made.items()])
+    source, target = _local(_tbl_folder(spark, t)), _local(scratch_path(spark, "prepared"))
+    listed = dataset.prepare_tbl(source, target)["tables"]
+    read = {n: df.count() for n, df in text.read_tbl_dataset(spark, target).items()}
+    return spark.createDataFrame([(n, e["rows"], read[n] == e["rows"]) for n, e in listed.items()], "table string, rows bigint, copied boolean")
 
 
 @query("select l_orderkey, l_suppkey from lineitem")
@@ -406,10 +405,11 @@ def record_summary(spark, t):
     return out.select(*[F.round(c, 6).alias(c) if c in ("median", "p25", "p75", "p95", "mean", "pstdev", "amortised_1", "amortised_10", "amortised_100") else F.col(c) for c in out.columns])
 
 
-@query("select id as request_index, id - 3 as measured_index from range(12) r(id) where id >= 3")
+@query("select s % 3 as session_id, i as request_index, i - (s % 3) as measured_index from range(3) s(s), range(6) r(i) where i >= s % 3")
 def warmups_dropped(spark, t):
-    requests = spark.range(12).select(F.col("id").alias("request_index"), (F.col("id") < 3).alias("is_warmup"))
-    return requests.filter("not is_warmup").select("request_index", (F.col("request_index") - 3).alias("measured_index"))
+    grid = spark.range(3).select(F.col("id").alias("session_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("request_index"))
+    requests = grid.withColumn("is_warmup", F.col("request_index") < F.col("session_id"))
+    return stats.measured(requests).select("session_id", "request_index", "measured_index")
 
 
 _SETUPS = (

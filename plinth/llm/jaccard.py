@@ -13,6 +13,8 @@ A document's set are its distinct shingles of five words. Two documents link whe
    every k. Each document takes the k of 1 to ``MOST_MATCHES`` whose estimated cost is least: k
    lengthens the prefix by k - 1 shingles, and by Markov's bound divides the
    candidates that need a comparison.
+   As frequent shingles come last, one is in the prefix only of a document of which frequent ones make up about
+   three quarters: a passage that many documents share brings no pairs of documents that are otherwise their own.
 3. Prefix shingles that only one document has are dropped. In what is left every
    document is first compared with the least document of each shingle, and what
    links is contracted to components; then only pairs in different components that

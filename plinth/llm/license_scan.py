@@ -7,8 +7,8 @@ identifiers it fits, so the long rules come first and what is left over is match
 by shorter ones. Runs that no rule fits are reported as leftover.
 
 Sentences are taken twice: with every line end as a sentence end, and with single
-line ends as spaces, for sentences that wrap. The reading with more known
-sentences counts, the first in a tie. A sentence ends at ``.``, ``!``, ``?`` or
+line ends as spaces, for sentences that wrap. Known sentences of both readings count, in the order
+of their places, but for those of the first that lie within one of the second. A sentence ends at ``.``, ``!``, ``?`` or
 ``;`` before a blank or the end, or at an empty line. It is normalised by
 lower-casing A-Z and turning all else but letters and digits into single blanks.
 A known sentence that is itself cut (after ``v.`` in ``v. 2.0``) counts where all its pieces follow
@@ -30,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import lower_ascii, packed, spread, table
+from plinth.llm.common import holds, lower_ascii, packed, running_sums, spread, table
 
 CUES = ("licen", "warrant", "permission", "redistribut", "spdx", "copyright", "public domain", "conditions")
 
@@ -132,16 +132,36 @@ def known_runs() -> dict[tuple[str, ...], str]:
     return {tuple(p for p in map(normal, re.split(_BY_LINE, sentence)) if p): name for name, sentence in SENTENCES}
 
 
-def _ids(text: Column, ends: str, known: dict[tuple[str, ...], str]) -> Column:
+def _known(text: Column, ends: str, known: dict[tuple[str, ...], str]) -> Column:
+    """array of struct(s, e, name): the known sentences and where they lie in the text."""
     sizes = sorted({len(run) for run in known}, reverse=True)
     names = {k: F.create_map(*[F.lit(x) for run, name in known.items() if len(run) == k for x in ("|".join(run), name)]) for k in sizes}
-    bare = F.transform(F.split(text, ends, -1), lambda s: F.btrim(F.regexp_replace(s, _ODD, " ")))
+    parts = F.struct(F.split(text, ends, -1).alias("p"), F.regexp_extract_all(text, F.lit(ends), F.lit(0)).alias("g"))
 
-    def name(all_: Column, i: Column) -> Column:
-        return F.coalesce(*[F.element_at(names[k], F.concat_ws("|", *[F.get(all_, i - at) for at in range(k - 1, -1, -1)])) for k in sizes])
+    def placed(x: Column) -> Column:
+        own = F.transform(x["p"], lambda p: F.btrim(F.regexp_replace(p, _ODD, " ")))
+        after = running_sums(F.transform(x["p"], lambda p, i: F.length(p) + F.coalesce(F.length(F.get(x["g"], i)), F.lit(0))))
+        sizes_ = F.transform(x["p"], lambda p: F.length(p))
+        return F.transform(F.array(F.struct(own.alias("t"), after.alias("after"), sizes_.alias("n"))), every)[0]
 
-    found = F.transform(F.array(bare), lambda all_: F.transform(all_, lambda _, i: name(all_, i)))[0]
-    return F.filter(found, lambda x: x.isNotNull())
+    def every(y: Column) -> Column:
+        found = F.transform(y["t"], lambda _, i: F.coalesce(*[of(y, i, k) for k in sizes]))
+        return F.filter(found, lambda f: f.isNotNull())
+
+    def of(y: Column, i: Column, k: int) -> Column:
+        name = F.element_at(names[k], F.concat_ws("|", *[F.get(y["t"], i - at) for at in range(k - 1, -1, -1)]))
+        start = F.coalesce(F.get(y["after"], i - k), F.lit(0))
+        end = F.coalesce(F.get(y["after"], i - 1), F.lit(0)) + F.get(y["n"], i)
+        return F.when(name.isNotNull(), F.struct(start.alias("s"), end.alias("e"), name.alias("name")))
+
+    return F.transform(F.array(parts), placed)[0]
+
+
+def _both(lines: Column, paragraphs: Column) -> Column:
+    """The names of both readings' sentences in their order."""
+    two = F.struct(lines.alias("a"), paragraphs.alias("b"))
+    united = F.transform(F.array(two), lambda x: F.array_sort(F.concat(x["b"], F.filter(x["a"], lambda f: ~holds(x["b"], f)))))[0]
+    return F.transform(united, lambda f: f["name"])
 
 
 def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -151,8 +171,7 @@ def scan_licenses(docs: DataFrame, rules=RULES) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     cue = F.rlike(text, F.lit("(?i)" + "|".join(CUES)))
     low = lower_ascii(text)
-    two = F.struct(_ids(low, _BY_LINE, known).alias("a"), _ids(low, _BY_PARAGRAPH, known).alias("b"))
-    ids = F.transform(F.array(two), lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]))[0]
+    ids = _both(_known(low, _BY_LINE, known), _known(low, _BY_PARAGRAPH, known))
     none = F.array().cast("array<string>")
     found = docs.select(row, "text", F.when(cue, ids).otherwise(none).alias("sentence_ids"))
     listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(seq) + ",").alias("run")) for name, seq in rules])
@@ -186,9 +205,13 @@ def _sql() -> str:
     sizes = sorted({len(run) for run in known}, reverse=True)
     names = ", ".join("map {" + ", ".join(f"{quote('|'.join(run))}: {quote(v)}" for run, v in known.items() if len(run) == k) + f"}} as n{k}" for k in sizes)
     # \$ ends in DuckDB's regular expressions as in Java's but for a last line feed.
-    cut = lambda ends: f"list_transform(regexp_split_to_array(t, {quote(ends)}), lambda s: trim(regexp_replace(s, '{_ODD}', ' ', 'g')))"
-    name = lambda p, k: f"n{k}[array_to_string({p}[i - {k - 1}:i], '|')]"
-    ids = lambda p: f"list_filter(list_transform(range(1, len({p}) + 1), lambda i: coalesce({', '.join(name(p, k) for k in sizes)})), lambda x: x is not null)"
+    length = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    cut = lambda ends: f"regexp_split_to_array(t, {quote(ends)}) as p, regexp_extract_all(t, {quote(ends)}) as g"
+    name = lambda k: f"n{k}[array_to_string(w[i - {k - 1}:i], '|')]"
+    start = lambda k: f"{length(f'p[1:i - {k}]')} + {length(f'g[1:i - {k}]')}"
+    found = " ".join(f"when {name(k)} is not null then struct_pack(s := {start(k)}, e := {start(1)} + length(p[i]), name := {name(k)})" for k in sizes)
+    ids = f"list_filter(list_transform(range(1, len(p) + 1), lambda i: case {found} end), lambda x: x is not null)"
+    read = lambda q, ends: f"{q}0 as (select doc_id, {cut(ends)} from l where regexp_matches(t, '{'|'.join(CUES)}')), {q}1 as (select *, list_transform(p, lambda s: trim(regexp_replace(s, '{_ODD}', ' ', 'g'))) as w from {q}0), {q} as (select doc_id, {ids} as x from {q}1, k), "
     steps, at = [], "s0"
     for i, (licence, seq) in enumerate(RULES, 1):
         run = "," + ",,".join(seq) + ","
@@ -200,9 +223,10 @@ def _sql() -> str:
     return (
         f"with k as (select {names}), "
         "l as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents), "
-        f"q as (select doc_id, {cut(_BY_LINE)} as pa, {cut(_BY_PARAGRAPH)} as pb from l where regexp_matches(t, '{'|'.join(CUES)}')), "
-        f"c as (select doc_id, {ids('pa')} as a, {ids('pb')} as b from q, k), "
-        "i as (select doc_id, case when len(b) > len(a) then b else a end as ids from c), "
+        + read("a", _BY_LINE)
+        + read("b", _BY_PARAGRAPH)
+        + "u as (select a.doc_id, list_sort(list_concat(b.x, list_filter(a.x, lambda f: len(list_filter(b.x, lambda h: h.s <= f.s and h.e >= f.e)) = 0))) as x from a join b on a.doc_id is not distinct from b.doc_id), "
+        "i as (select doc_id, list_transform(x, lambda f: f.name) as ids from u), "
         "s0 as (select doc_id, ids, ',' || array_to_string(ids, ',,') || ',' as seq, '' as names from i where len(ids) > 0), "
         + ", ".join(steps)
         + f" select d.doc_id, cast(coalesce(len(f.ids), 0) as bigint) as n_known, coalesce(array_to_string(f.ids, ','), '') as sentence_ids, "

@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import packed, sha256_hex, spread, table
+from plinth.llm.common import holds, packed, running_sums, sha256_hex, spread, table
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -46,8 +46,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Counts in a long, and bits of each: room for WINDOW.
 _HELD, _FIELD = 12, 5
-#: Lengths that are summed up in one go.
-_BLOCK = 64
 HEX_BITS = 3.0
 BASE64_BITS = 3.8
 
@@ -58,24 +56,6 @@ ANNOUNCED = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|integrity|digest|base64
 _SPAN = "array<struct<s:int,e:int,m:string,v:string,lead:string>>"
 
 
-def _running(xs: Column) -> Column:
-    """Running sums of an array, in blocks, so that no sum copies all that came before it."""
-
-    def add(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x))
-
-    def sums(ys: Column) -> Column:
-        return F.aggregate(ys, F.array().cast("array<int>"), add)
-
-    def carried(own: Column) -> Column:
-        before = sums(F.transform(own, lambda b: F.get(b, F.size(b) - 1)))
-        return F.transform(F.array(before), lambda t: F.flatten(F.transform(own, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(t, i - 1), F.lit(0))))))[0]
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(xs), F.lit(_BLOCK)), lambda i: i < F.size(xs))
-    blocks = F.transform(starts, lambda i: sums(F.slice(xs, i + 1, F.lit(_BLOCK))))
-    return F.transform(F.array(blocks), carried)[0]
-
-
 def _found(text: Column, pattern: str, group: int) -> Column:
     """All matches as structs: start, end, match, its group, the text since the match before."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -83,7 +63,7 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     gaps = F.split(text, pattern, -1)
 
     def placed(x: Column) -> Column:
-        ends = _running(F.transform(x["w"], lambda w, i: F.length(w) + F.length(F.get(x["g"], i))))
+        ends = running_sums(F.transform(x["w"], lambda w, i: F.length(w) + F.length(F.get(x["g"], i))))
         at = F.struct(ends.alias("e"), x["w"].alias("w"), x["v"].alias("v"), x["g"].alias("g"))
         return F.transform(F.array(at), lambda y: F.transform(y["w"], lambda w, i: one(y, w, i)))[0]
 
@@ -172,13 +152,6 @@ def entropy_spans(text: Column) -> Column:
     return F.transform(high, lambda x: F.struct((x["s"] + x["w"]["first"]).alias("s"), (x["s"] + x["w"]["last"] + WINDOW).alias("e")))
 
 
-def _holds(spans: Column, x: Column) -> Column:
-    """Whether the last of the sorted spans that starts by x's start ends by x's end or later."""
-    by_half = F.array(*[F.lit(1 << i) for i in reversed(range(30))])
-    last = F.aggregate(by_half, F.lit(-1), lambda at, step: F.when(F.coalesce(F.get(spans, at + step)["s"] <= x["s"], F.lit(False)), at + step).otherwise(at))
-    return F.coalesce(F.get(spans, last)["e"] >= x["e"], F.lit(False))
-
-
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs with base and found: arrays of struct(s, k, e); k indexes KINDS."""
     text = F.coalesce("text", F.lit(""))
@@ -196,7 +169,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     # Spans of a kind do not overlap, so only the last that starts no later can hold another.
     own = lambda k: F.filter("base", lambda b: b["k"] == k)
     of = F.array(*[F.struct(own(k).alias("own")) for k in range(3)])
-    more = F.transform(F.array(of), lambda kinds: F.filter("_extra", lambda x: ~F.exists(kinds, lambda b: _holds(b["own"], x))))[0]
+    more = F.transform(F.array(of), lambda kinds: F.filter("_extra", lambda x: ~F.exists(kinds, lambda b: holds(b["own"], x))))[0]
     more = F.when(F.size("_extra") > 0, more).otherwise(F.col("_extra"))
     return found.select(*columns, "base", F.array_sort(F.concat("base", more)).alias("found"))
 

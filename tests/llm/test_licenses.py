@@ -57,6 +57,19 @@ def test_every_rule_is_reachable(spark):
     assert [list(got[i]["licenses"]) for i in range(len(texts))] == [[name] for name, _ in L.RULES]
 
 
+def test_both_readings_count(spark):
+    """One-line notices in front of wrapped sentences: the first are lost by paragraph, the others by line."""
+    bsd = [s for n, s in L.SENTENCES if n in ("BsdGrant", "BsdSource", "BsdBinary")]
+    wrapped = "\n\n".join(s.replace(" conditions", "\n# conditions").replace("documentation", "\n documentation") + "." for s in bsd)
+    # No blank line parts the first wrapped sentence from the notices, so it is not known.
+    text = "SPDX-License-Identifier: Apache-2.0\nLicensed under the MIT License\n" + wrapped + "\n\nReleased under the MIT License."
+    got = scan(spark, [text, wrapped, text.split("\n\n")[0]])
+    assert list(got[0]["sentence_ids"]) == ["ApacheSpdx", "MitBy", "BsdSource", "BsdBinary", "MitBy"]
+    assert list(got[1]["licenses"]) == ["BSD-2-Clause"]
+    # A sentence that both readings find is named once.
+    assert list(scan(spark, ["Released under the MIT License.\n\nx\n\nReleased under the MIT License"])[0]["sentence_ids"]) == ["MitBy", "MitBy"]
+
+
 def plain_licenses(ids):
     """The rules in their order, each taking what the ones before have left, in plain lists."""
     parts, names = [list(ids)], []

@@ -118,7 +118,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, k = F.col("p.n"), F.col("p.k")
     start = F.greatest(F.lit(0), k * n - F.greatest(n - WIDTH, F.lit(0)))
     placed = held.select("d", "th", "ws", F.explode("places").alias("p")).select("d", "th", "p.item", "p.n", F.slice("ws", start + 1, (k + 2) * n - start).alias("ws"))
-    regions = materialize(placed.select("d", "th", "item", "n", shingles(F.col("ws")).alias("shs")), "leak-regions")
+    # Few rows from many tasks: dealt anew by size, so that they are few files.
+    regions = materialize(placed.select("d", "th", "item", "n", shingles(F.col("ws")).alias("shs")).hint("rebalance"), "leak-regions")
 
     shares = items.select("item", "item_id", F.col("shares.sh").alias("own"), F.col("shares.share").alias("worth"))
     share = largest_share(F.col("shs"), F.col("n"), F.col("own"), F.col("worth"))

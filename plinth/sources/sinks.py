@@ -52,6 +52,7 @@ def session_jsonl(setup: Mapping[str, object], requests: Iterable[Mapping[str, o
 def write_atomically(path: str, text: str) -> None:
     """Write beside, flush, read back, then replace."""
     target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
     work = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
     try:
         with work.open("w") as f:

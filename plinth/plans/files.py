@@ -104,7 +104,7 @@ def tbl_validation_faults(spark, t):
 
 
 def _local(path: str) -> str:
-    """A path of the driver's file system; the Arrow exchange format is for test-sized datasets."""
+    """A path of the file system that the driver and the executors share: the driver writes an Arrow file in one piece."""
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"an Arrow dataset needs a folder that the driver can open, not {path}")
     return path.removeprefix("file://").removeprefix("file:")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,53 @@ def test_arrow_dataset(spark, tiny, tmp_path):
     assert hashes["region.arrow"] == dataset.read_manifest(folder)["tables"]["region"]["sha256"]
 
 
+class _Counted:
+    """The most bytes that Arrow held in this process since the start, the driver's own rows among them."""
+
+    def __enter__(self):
+        self.before = pa.default_memory_pool()
+        self.pool = pa.proxy_memory_pool(self.before)
+        pa.set_memory_pool(self.pool)
+        return self.pool
+
+    def __exit__(self, *_):
+        pa.set_memory_pool(self.before)
+
+
+@pytest.fixture(scope="module")
+def many(tiny):
+    """The small tables with 900 000 lines, 36 MB in an Arrow file."""
+    return dict(tiny, lineitem=tiny["lineitem"].crossJoin(tiny["region"].sparkSession.range(0, 150_000, 1, 6)).drop("id"))
+
+
+def test_arrow_dataset_is_written_within_bounds(many, tmp_path):
+    with _Counted() as pool:
+        manifest = dataset.write_arrow_dataset(many, str(tmp_path / "ds"), batch_rows=1000)
+    assert manifest["tables"]["lineitem"]["rows"] == 900_000 and manifest["tables"]["lineitem"]["record_batches"] == 900
+    assert manifest["tables"]["lineitem"]["bytes"] > 36e6 and pool.max_memory() < 12e6
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["ds"] and len(list((tmp_path / "ds").iterdir())) == 7
+
+
+def test_arrow_dataset_keeps_the_rows_order(spark, tiny, tmp_path):
+    wanted = spark.range(0, 1000, 1, 7).select(F.col("id").cast("int").alias("o_orderkey"), F.lit(10).alias("o_custkey"), F.lit("1994-02-01").cast("date").alias("o_orderdate"))
+    for rows in (7, 999, 5000):
+        entry = dataset.write_arrow_dataset(dict(tiny, orders=wanted), str(tmp_path / str(rows)), batch_rows=rows)["tables"]["orders"]
+        assert entry["record_batches"] == -(-1000 // rows)
+        assert dataset.read_arrow_dataset(spark, str(tmp_path / str(rows)))["orders"].collect() == wanted.collect()
+    with pytest.raises(ValueError, match="positive"):
+        dataset.write_arrow_dataset(tiny, str(tmp_path / "none"), batch_rows=0)
+
+
+def test_rows_that_the_driver_does_not_find_raise(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(dataset, "_parts", lambda folder: iter(()))
+    with pytest.raises(ValueError, match="share the folder"):
+        dataset.write_arrow_dataset(tiny, str(tmp_path / "ds"))
+    assert not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="has nulls"):
+        monkeypatch.undo()
+        dataset.write_arrow_dataset(dict(tiny, nation=tiny["nation"].withColumn("n_name", F.nullif("n_name", F.lit("INDIA")))), str(tmp_path / "ds"))
+
+
 def test_tampering_is_found(spark, tiny, tmp_path):
     folder = tmp_path / "ds"
     dataset.write_arrow_dataset(tiny, str(folder))

@@ -101,6 +101,18 @@ def test_arrow_dataset_is_written_within_bounds(many, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["ds"] and len(list((tmp_path / "ds").iterdir())) == 7
 
 
+def test_arrow_dataset_is_read_by_the_executors(spark, many, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ds")
+    dataset.write_arrow_dataset(many, folder)
+    monkeypatch.setattr(dataset, "TASK_BYTES", 10_000_000, raising=False)
+    with _Counted() as pool:
+        read = dataset.read_arrow_dataset(spark, folder)
+        found = regional_revenue(read, RevenueParams()).collect()
+    assert pool.max_memory() < 12e6
+    assert [tuple(r) for r in found] == [("JAPAN", 1900000 * 150_000), ("INDIA", 900000 * 150_000)]
+    assert read["lineitem"].rdd.getNumPartitions() == 4 and read["lineitem"].count() == 900_000
+
+
 def test_arrow_dataset_keeps_the_rows_order(spark, tiny, tmp_path):
     wanted = spark.range(0, 1000, 1, 7).select(F.col("id").cast("int").alias("o_orderkey"), F.lit(10).alias("o_custkey"), F.lit("1994-02-01").cast("date").alias("o_orderdate"))
     for rows in (7, 999, 5000):
@@ -111,6 +123,27 @@ def test_arrow_dataset_keeps_the_rows_order(spark, tiny, tmp_path):
         dataset.write_arrow_dataset(tiny, str(tmp_path / "none"), batch_rows=0)
 
 
+def test_arrow_files_of_uneven_and_empty_batches(spark, tiny, tmp_path):
+    folder = tmp_path / "ds"
+    manifest = dataset.write_arrow_dataset(dict(tiny, customer=tiny["customer"].limit(0)), str(folder))
+    assert manifest["tables"]["customer"]["record_batches"] == 0
+    path, keys = folder / "supplier.arrow", []
+    schema = pa.schema([("s_suppkey", pa.int32()), ("s_nationkey", pa.int32())])
+    with pa.ipc.new_file(str(path), schema) as out:
+        for n in (0, 3, 0, 0, 1, 5, 0):
+            own = list(range(len(keys), len(keys) + n))
+            out.write_batch(pa.record_batch([pa.array(own, pa.int32())] * 2, schema=schema))
+            keys += own
+    entry = manifest["tables"]["supplier"]
+    manifest["tables"]["supplier"] = entry | {"rows": 9, "record_batches": 7, "schema": str(schema), "bytes": path.stat().st_size, "sha256": dataset.sha256_file(path)}
+    (folder / "manifest.json").write_text(json.dumps(manifest))
+    read = dataset.read_arrow_dataset(spark, str(folder))
+    assert [tuple(r) for r in read["supplier"].collect()] == [(k, k) for k in keys] and read["customer"].collect() == []
+    path.write_bytes(path.read_bytes() + b"x")
+    with pytest.raises(Exception, match="another file"):
+        read["supplier"].collect()
+
+
 def test_rows_that_the_driver_does_not_find_raise(spark, tiny, tmp_path, monkeypatch):
     monkeypatch.setattr(dataset, "_parts", lambda folder: iter(()))
     with pytest.raises(ValueError, match="share the folder"):
